@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.llm import html, language, neighbours, quality, secrets, simhash, urls, windows
+from lumengraph.llm import decontaminate, html, language, neighbours, quality, secrets, simhash, urls, windows
 from lumengraph.llm.common import learns
 
 
@@ -43,6 +43,11 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, pages.select("url", number.alias("number")).join(marks, "number").select("url", "blocked"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "cosine", "lcs", "answer")
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_urls": op6_urls,
+    "op7_decontaminate": op7_decontaminate,
     "op8_neighbours": op8_neighbours,
     "op9_secrets": op9_secrets,
     "op10_windows": op10_windows,
