@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from lumengraph.llm.common import chunks, utf8
 
 #: Words of a window; words of the grams whose smallest hash is a window's minimiser.
-WINDOW, GRAM = 35, 8
+WINDOW, GRAM = 35, 5
 #: A longer run of windows is cut, so that no packed string outgrows a task. Cuts change no count: windows are compared one by one.
 MOST_RUN = 1024
 #: A task packs what about so many bytes of text hold before it sends them on.
@@ -146,26 +147,29 @@ def repeated(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     """
     buckets = BUCKETS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        squeeze = zstandard.ZstdCompressor(3)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(6)
 
-        def sent(strings: dict) -> pd.DataFrame:
+        def rows_of(to: dict[int, object]) -> pa.RecordBatch:
+            ids = sorted(to)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([squeeze.compress(pickle.dumps(to[i])) for i in ids], pa.binary())], ["bucket", "packed"])
+
+        def sent(strings: dict) -> pa.RecordBatch:
             to: dict[int, list] = {}
             for (mini, packed), (n, key, start, again) in strings.items():
                 to.setdefault(mini % buckets, []).append((mini, key if n == 1 else b"", start if n == 1 else -1, packed, again))
-            ids = sorted(to)
-            return pd.DataFrame({"bucket": ids, "packed": [squeeze.compress(pickle.dumps(list(zip(*sorted(to[b], key=lambda e: e[3]), strict=True)))) for b in ids]}).astype({"bucket": "int32"})
+            return rows_of({b: list(zip(*sorted(own, key=lambda e: e[3]), strict=True)) for b, own in to.items()})
 
-        def settled(done: set) -> pd.DataFrame:
+        def settled(done: set) -> pa.RecordBatch:
             by: dict[int, list] = {}
             for d in done:
                 by.setdefault(int.from_bytes(d[0][:4], "big") % buckets, []).append(d)
-            return pd.DataFrame({"bucket": list(by), "packed": [squeeze.compress(pickle.dumps(("settled", v))) for v in by.values()]}).astype({"bucket": "int32"})
+            return rows_of({b: ("settled", own) for b, own in by.items()})
 
         strings, done, size = {}, set(), 0
         for b in batches:
-            keys, texts = b["key"].tolist(), utf8(b["text"])
-            for at, run in chunks(texts, 2 << 20):
+            keys = b.column(0).to_pylist()
+            for at, run in chunks((t.as_py() for t in b.column(1).cast(pa.binary())), 2 << 20):
                 for mini, i, start, packed, again in super_kmers(run, window, gram):
                     own = strings.get((mini, packed))
                     if own is None:
@@ -195,7 +199,7 @@ def repeated(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
         out += counted(entries, window)
         return pd.DataFrame(out, columns=["key", "first", "past"]).astype({"first": "int32", "past": "int32"})
 
-    return rows.select("key", "text").mapInPandas(pack, "bucket int, packed binary").groupBy("bucket").applyInPandas(count, "key binary, first int, past int")
+    return rows.select("key", "text").mapInArrow(pack, "bucket int, packed binary").groupBy("bucket").applyInPandas(count, "key binary, first int, past int")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
