@@ -64,12 +64,12 @@ def links(prints: DataFrame) -> DataFrame:
     wide = written(index.groupBy("seg", "key").count().where(F.col("count") > WIDE_KEY).select("seg", "key"), "wide")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS
 
-    found = probe.join(index.join(wide, ["seg", "key"], "left_anti"), ["seg", "key"]).where((F.col("a") < F.col("b")) & close).select("a", "b")
+    found = probe.join(index.join(wide, ["seg", "key"], "left_anti").hint("shuffle_hash"), ["seg", "key"]).where((F.col("a") < F.col("b")) & close).select("a", "b")
     if wide.limit(1).count():
         thirds = lambda c: F.explode(F.array(*(F.struct(F.lit(t).alias("third"), F.shiftrightunsigned(c, s).bitwiseAND(F.lit((1 << n) - 1)).alias("part")) for t, s, n in ((0, 0, 11), (1, 11, 11), (2, 22, 10)))))
         crowd = index.join(wide, ["seg", "key"], "left_semi").select("seg", "key", "b", thirds("rest_b").alias("t")).select("seg", "key", "b", "t.*")
         asks = probe.join(wide, ["seg", "key"], "left_semi").select("seg", "key", "a", thirds("rest_a").alias("t")).select("seg", "key", "a", "t.*")
-        found = found.union(asks.join(crowd, ["seg", "key", "third", "part"]).where((F.col("a") < F.col("b")) & close).select("a", "b"))
+        found = found.union(asks.join(crowd.hint("shuffle_hash"), ["seg", "key", "third", "part"]).where((F.col("a") < F.col("b")) & close).select("a", "b"))
     return found.distinct()
 
 
@@ -89,3 +89,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_print = written(rooted.join(lowest, "root").select("fp", "component_id"), "of-print")
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that stay when one document of each group of near duplicates is kept: that
+    with the smallest id, once. Rows without an id stay."""
+    near = written(near_duplicates(docs, width, id_col, text_col), "near-duplicates")
+    first = near.where("doc_id = component_id").select(F.col("doc_id").alias("_first"))
+    with_id = docs.where(F.col(id_col).isNotNull())
+    kept = with_id.join(first, with_id[id_col] == first["_first"], "left_semi")
+    if first.groupBy("_first").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
