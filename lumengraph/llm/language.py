@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,32 +120,39 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fold(train_counts(sorted(got))) if got else None
 
 
-def identify(docs: DataFrame, model: Contexts | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of docs.
+def tagged(docs: DataFrame, model: Contexts | None, text_col: str = "text") -> DataFrame:
+    """docs with two more columns, lang_pred and score (columns of these names are replaced), for every row.
 
     lang_pred is the language whose trees code the whole text in the fewest bits, the first in the alphabet where several
     do; ``und`` where the text is null or has no letter (score 0), or where there is no model. score is that language's
-    share of the likelihoods, tempered to the text's bits a byte: 1 means that no other language comes near. A repeated row
-    gives a row each time; an empty table gives an empty table.
+    share of the likelihoods, tempered to the text's bits a byte: 1 means that no other language comes near. Repeated rows,
+    nulls and further columns stay as they are; an empty table gives an empty table.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    kept = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")]
     if model is None:
-        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    rows = docs.select(*kept, F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
     sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(cloudpickle.dumps(model), 1))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(zlib.decompress(sent.value))
+        names = np.array([*m.languages, "und"], object)
         for b in batches:
-            texts = utf8(b["text"])
-            best, score = np.zeros(len(b), np.int64), np.zeros(len(b))
-            for start, part in chunks(texts):
+            best, score = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            texts, letters = b.column(b.num_columns - 2).cast(pa.binary()), b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            for start, part in chunks(t.as_py() or b"" for t in texts):
                 bits = code_lengths(m, part)
                 n = np.maximum(1, [len(t) for t in part])[:, None]
                 gap = (bits - bits.min(1, keepdims=True)) / n * 20
                 best[start : start + len(part)] = bits.argmin(1)
                 score[start : start + len(part)] = 1 / np.exp2(-gap).sum(1)
-            ok = b["letters"].to_numpy(bool)
-            names = np.array([*m.languages, "und"], object)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang_pred": names[np.where(ok, best, len(m.languages))], "score": np.where(ok, score, 0.0)})
+            out = [*b.columns[:-2], pa.array(names[np.where(letters, best, len(m.languages))], pa.string()), pa.array(np.where(letters, score, 0.0))]
+            yield pa.RecordBatch.from_arrays(out, [f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)
 
-    return rows.mapInPandas(run, "doc_id long, lang_pred string, score double")
+
+def identify(docs: DataFrame, model: Contexts | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) for every row of docs, as ``tagged`` has them."""
+    return tagged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model).select("doc_id", "lang_pred", "score")

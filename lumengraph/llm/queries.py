@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.llm import decontaminate, html, language, neighbours, quality, secrets, simhash, urls, windows
+from lumengraph.llm import decontaminate, html, language, neighbours, pieces, quality, secrets, simhash, urls, windows
 from lumengraph.llm.common import learns
 
+#: The vocabulary file that texts are encoded with; a parameter of the query.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +34,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str, model: str = TOKENIZER) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load(spark, model))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -67,6 +74,7 @@ def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_pieces": op2_pieces,
     "op3_html": op3_html,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
