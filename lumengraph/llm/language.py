@@ -58,7 +58,7 @@ def train_counts(rows: list[tuple[str, str]]) -> dict[str, list[dict[bytes, dict
 
 def fold(trees: dict[str, list[dict[bytes, dict[int, int]]]]) -> Contexts:
     languages = sorted(trees)
-    seen = sorted({s for t in trees.values() for s in t[0].get(b"", {})})
+    seen = sorted({s for t in trees.values() for s in t[0].get(b"", {})} | set(b"\n"))  # a text's context begins with line feeds
     symbol = np.full(256, len(seen), np.int32)
     symbol[seen] = np.arange(len(seen))
     width = len(seen) + 1
