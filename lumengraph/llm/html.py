@@ -134,9 +134,9 @@ def measure(root: Node) -> list[Node]:
 def main_nodes(root: Node) -> list[Node]:
     """The subtrees that make up the article, in page order.
 
-    The node with the greatest density sum is chosen; the least density on its path to the body is the threshold, and below
-    the body every other subtree that reaches it gives its own node of greatest sum. A choice inside an article (or main)
-    element stands for all of it.
+    The node with the greatest density sum is chosen; the least density on its path to the body is the threshold. Up that
+    path the choice widens as long as nothing beside it is mostly links; where it stops, further blocks beside the path that
+    reach the threshold are taken too. A choice inside an article (or main) element stands for all of it.
     """
     nodes = measure(root)
     if not root.chars:
@@ -158,7 +158,12 @@ def main_nodes(root: Node) -> list[Node]:
             x = x.parent
         return out
 
-    chosen = [whole(best)]
+    wide = whole(best)
+    if wide is best:
+        linky = lambda x: x.chars and x.link_chars > 0.5 * x.chars
+        while wide.parent and wide.name != "body" and not any(linky(x) for x in wide.parent.items if isinstance(x, Node) and not x.outside and x is not wide):
+            wide = wide.parent
+    chosen = [wide]
     above = {id(x) for x in path}
     inside = lambda x: any(id(c) in {id(y) for y in _up(x)} for c in chosen)
     for node in nodes:
