@@ -36,5 +36,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and outlives any executor."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_written(df: DataFrame) -> None:
+    """Removes a table of ``written`` that no later step reads."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop(df.sparkSession, path)
