@@ -1,51 +1,16 @@
-"""What the operators share: tables written to the cluster's shared folder, components, byte chunks."""
+"""What the operators share: training rows, components, byte chunks."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS = r"[^\x20\x09-\x0D]+"
-_roots: dict[str, str] = {}
+from lumengraph.store import delete_written, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """This session's own folder below ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"file://{tempfile.mkdtemp(prefix='lumengraph-')}"
-        _roots[app] = f"{base.rstrip('/')}/lumengraph-{uuid.uuid4().hex}"
-        atexit.register(_drop, spark, _roots[app])
-    return _roots[app]
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session has ended before; the folder is then left to the cluster's own cleaning
-        return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and outlives any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete_written(df: DataFrame) -> None:
-    """Removes a table of ``written`` that no later step reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _drop(df.sparkSession, path)
+__all__ = ["chunks", "components", "delete_written", "learns", "run_ids", "utf8", "written"]
 
 
 def learns(doc_id: Column) -> Column:
@@ -53,11 +18,6 @@ def learns(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
 
 
-def bit_rows(df: DataFrame, limit_rows: int) -> bool:
-    """Whether df has at most limit_rows rows; looks at no more than that."""
-    return df.limit(limit_rows + 1).count() <= limit_rows
-
-
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges(a, b): one row (node, root) for each node of an edge; root is the component's smallest node.
 

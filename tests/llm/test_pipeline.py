@@ -1,9 +1,7 @@
 """The pipeline, stage by stage, against brute force."""
 
-import re
-
 import corpus_pipeline
-from lumengraph.llm import decontaminate, pieces, queries, secrets
+from lumengraph.llm import pieces, queries, secrets
 from tests.llm.test_llm import SF, linked, plain, slow_fingerprint, slow_spans
 
 
@@ -32,7 +30,6 @@ def test_stages_in_order(spark):
     model = pieces.load(spark, queries.TOKENIZER)
     back = {r.doc_id: r.text for r in pieces.decode(rows["pieces"], model, ["doc_id"]).collect()}
     assert back == {i: t for i, (t, _) in safe.items()}
-    assert re and decontaminate
 
 
 def test_run_gives_the_last_stage(spark):
