@@ -23,8 +23,9 @@ PASSAGE, STRIDE = 48, 16
 RANK, SPARE = 256, 8
 #: Terms that more than this share of the documents hold don't take part in retrieval.
 COMMON = 0.05
-#: Least cosine of a candidate; least share of an item's words in order for a copy, and for a paraphrase with the answer.
-COSINE, COPY, PARAPHRASE = 0.45, 0.8, 0.5
+#: Least cosine of a candidate, and least share of an item's weight that it holds; least share of an item's words in order
+#: for a copy, and for a paraphrase with the answer.
+COSINE, WEIGHT, COPY, PARAPHRASE = 0.45, 0.2, 0.8, 0.5
 #: Words at an item's end that stand for its answer where none is given.
 ANSWER_WORDS = 6
 #: Items that are searched for at once; bounds what is broadcast. More items take more rounds over the encoded documents.
@@ -158,7 +159,7 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
         if len(x) and rare[np.unique(x)].sum() < 3:
             rare[x] = True
     idf = np.where(rare, np.log((1 + n_docs) / (1 + held)) + 1e-3, 0.0)
-    rows, owner = [], []
+    rows, owner, least = [], [], []
     for i, (_, x, _) in enumerate(numbers):
         for p in _passages(x.tolist()):
             terms, n = np.unique(np.array(p), return_counts=True)
@@ -166,6 +167,7 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
             if norm := float(np.sqrt((weights**2).sum())):
                 rows.append((terms[weights > 0].tolist(), (weights[weights > 0] / norm).tolist()))
                 owner.append(i)
+                least.append(WEIGHT * norm)
     if not rows:
         return spark.createDataFrame([], FOUND)
     passages = spark.createDataFrame(rows, "terms array<int>, weights array<double>").repartition(max(1, len(rows) // 500))
@@ -175,50 +177,53 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
         table[i] = np.array(weights) @ latent[terms]
     table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
     terms = (latent * idf[:, None]).astype(np.float32)
-    sent = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps((terms, idf > 0, table, np.array(owner), numbers)), 1))
+    sent = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps((terms, idf > 0, table, np.array(owner), np.array(least, np.float32), numbers)), 1))
 
-    def candidates(ids: np.ndarray, terms: np.ndarray, use: np.ndarray, table: np.ndarray, owner: np.ndarray) -> dict[int, tuple[float, int]]:
-        """The best cosine and its first word for each item that some passage of a text comes near."""
+    def candidates(ids: np.ndarray, terms: np.ndarray, use: np.ndarray, table: np.ndarray, owner: np.ndarray, least: np.ndarray) -> dict[int, list[tuple[float, float, int]]]:
+        """(weight, cosine, first word) of the passages of a text that come near an item, by item, the heaviest first; of
+        overlapping ones only the heaviest."""
         at = np.flatnonzero(use[ids] & (ids >= 0))
         if len(at) < 2:
             return {}
         strips, first = np.unique(at // STRIDE, return_index=True)
-        sums = np.zeros((int(strips[-1]) + PASSAGE // STRIDE, terms.shape[1]), np.float32)
-        sums[strips] = np.add.reduceat(terms[ids[at]], first, axis=0)
-        count = np.zeros(len(sums), np.int32)
-        count[strips] = np.diff([*first.tolist(), len(at)])
         k = PASSAGE // STRIDE
-        window, many = sums[: len(sums) - k + 1].copy(), count[: len(sums) - k + 1].copy()
+        sums = np.zeros((int(strips[-1]) + k, terms.shape[1]), np.float32)
+        sums[strips] = np.add.reduceat(terms[ids[at]], first, axis=0)
+        n = len(sums) - k + 1
+        window = sums[:n].copy()
         for j in range(1, k):
-            window += sums[j : len(sums) - k + 1 + j]
-            many += count[j : len(sums) - k + 1 + j]
-        best: dict[int, tuple[float, int]] = {}
-        for start in range(0, len(window), 1 << 14):
-            some = np.flatnonzero(many[start : start + (1 << 14)] >= 2) + start
-            if not len(some):
-                continue
-            x = window[some]
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-            near = x @ table.T
-            for i, j in zip(*np.nonzero(near >= COSINE), strict=True):
-                item, c = int(owner[j]), float(near[i, j])
-                if c > best.get(item, (0.0, 0))[0]:
-                    best[item] = c, int(some[i]) * STRIDE
-        return best
+            window += sums[j : n + j]
+        heavy = np.flatnonzero(np.einsum("ij,ij->i", window, window) >= least.min() ** 2)
+        near: dict[int, list[tuple[float, float, int]]] = {}
+        for start in range(0, len(heavy), 1 << 14):
+            some = heavy[start : start + (1 << 14)]
+            weight, size = window[some] @ table.T, np.linalg.norm(window[some], axis=1)
+            for i, j in zip(*np.nonzero((weight >= COSINE * size[:, None]) & (weight >= least)), strict=True):
+                near.setdefault(int(owner[j]), []).append((float(weight[i, j]), float(weight[i, j] / size[i]), int(some[i])))
+        out = {}
+        for item, all_ in near.items():
+            most: dict[int, float] = {}
+            for w, _, i in all_:
+                most[i] = max(w, most.get(i, 0.0))
+            peaks = [(w, c, i * STRIDE) for w, c, i in all_ if all(w >= most.get(i + d, 0.0) for d in range(1 - k, k))]
+            out[item] = sorted(peaks, reverse=True)
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, use, table, owner, numbers = cloudpickle.loads(zlib.decompress(sent.value))
+        terms, use, table, owner, least, numbers = cloudpickle.loads(zlib.decompress(sent.value))
         for b in batches:
             out = []
             for doc, key, packed in zip(b["doc_id"], b["key"], b["ids"], strict=True):
                 ids = _ids(packed)
-                for i, (cosine, start) in candidates(ids, terms, use, table, owner).items():
+                for i, peaks in candidates(ids, terms, use, table, owner, least).items():
                     item, x, answer = numbers[i]
-                    part = ids[max(0, start - len(x)) : start + PASSAGE + len(x)]
-                    share = common_subsequence(x, part) / len(x)
-                    said = _contains(part, answer)
-                    if share >= COPY or share >= PARAPHRASE and said:
-                        out.append((doc, key, item, cosine, share, said))
+                    for _, cosine, start in peaks:
+                        part = ids[max(0, start - len(x)) : start + PASSAGE + len(x)]
+                        share = common_subsequence(x, part) / len(x)
+                        said = _contains(part, answer)
+                        if share >= COPY or share >= PARAPHRASE and said:
+                            out.append((doc, key, item, cosine, share, said))
+                            break
             yield pd.DataFrame(out, columns=["doc_id", "key", "item_id", "cosine", "lcs", "answer"]).astype({"doc_id": "Int64", "item_id": "int64", "cosine": "float64", "lcs": "float64", "answer": "bool"})
 
     return coded.where("n > 0").select("doc_id", "key", "ids").mapInPandas(run, FOUND)
