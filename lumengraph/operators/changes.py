@@ -155,6 +155,12 @@ def visible(log: DataFrame, changes: DataFrame) -> DataFrame:
     return log.join(done, F.col("change_id") == F.col("_id"), "left_semi")
 
 
+def pending(requests: DataFrame, changes: DataFrame) -> DataFrame:
+    """requests(request_id, ...) with ``change_id`` and ``status``: QUEUED until changes(id, request_id, status) has it."""
+    done = changes.select("request_id", F.col("id").alias("change_id"), F.col("status").alias("_status"))
+    return requests.join(done, "request_id", "left").withColumn("status", F.coalesce("_status", F.lit("QUEUED"))).drop("_status")
+
+
 def field_operations(names: Sequence[str]) -> dict[str, int]:
     """What mutation fields do, by their names' beginning."""
     out = {}

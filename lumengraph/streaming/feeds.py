@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lumengraph.model import DELETE, INSERT, LOG, RDF_TYPE
 from lumengraph.operators.state import state
+from lumengraph.sources.mapping import logged
+from lumengraph.sources.rdf import statements
 
 #: Files of the log that a micro-batch takes at most, and the time between batches.
 FILES_PER_BATCH, EVERY = 100, "1 second"
@@ -89,6 +91,18 @@ def persisted(sink: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, number: grouped(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
 
+def ingested(spark: SparkSession, folder: str, log: str, base: str, change_id: Callable[[int], str]) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
+    """(stream, batch handler) that turn uploaded N-Triples files into insertions: a batch is a change, named by ``change_id``
+    from its number, so that a repeated batch gives the same records. Lines that are no statements are left out."""
+    stream = spark.readStream.format("text").load(folder).withColumn("file", F.input_file_name())
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = statements(batch, base, document=F.col("file"), strict=False)
+        logged(rows, F.lit(change_id(number)), F.current_timestamp()).write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    return stream, each
+
+
 def windowed_counts(events: DataFrame, time: str, keys: Sequence[str], width: str, late: str) -> DataFrame:
     """Counts by event-time window and keys, with a watermark for late rows. An extra: the graph model itself has none."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), *keys).count()

@@ -361,3 +361,22 @@ def test_subscriptions(spark, kind, seen):
         each(whole.where(F.col("change_id") == change), number)
     assert sorted(r.name for r in spark.read.parquet(sink).collect()) == seen
     assert feeds.trigger_sign("DELETE", "x") == -1 and feeds.trigger_sign(None, "changed") is None
+
+
+def test_uploaded_files_become_changes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.nt").write_text('<http://e.org/s> <http://e.org/p> "v" .\nnonsense\n_:x <http://e.org/p> <http://e.org/s> .\n')
+    stream, each = feeds.ingested(spark, str(tmp_path / "in"), str(tmp_path / "log"), EX, lambda n: f"u{n}")
+    go = lambda: feeds.run(stream, each, str(tmp_path / "checkpoint"), once=True).awaitTermination()
+    go()
+    (tmp_path / "in" / "b.nt").write_text('<http://e.org/t> <http://e.org/p> "w" .\n')
+    go()
+    got = spark.read.parquet(str(tmp_path / "log"))
+    assert rows(got.groupBy("change_id").count()) == [("u0", 2), ("u1", 1)]
+    assert st.state(got).count() == 3
+
+
+def test_pending_requests(spark):
+    asked = spark.createDataFrame([("r1",), ("r2",)], "request_id string")
+    done = spark.createDataFrame([("c1", "r1", "COMMITTED")], "id string, request_id string, status string")
+    assert rows(changes.pending(asked, done).fillna("-")) == [("r1", "c1", "COMMITTED"), ("r2", "-", "QUEUED")]
