@@ -21,7 +21,7 @@ SPACE = "▁"
 #: A word is a run of spaces with what follows it; line feeds, tabs and returns, which no piece holds, stand alone.
 WORD = re.compile(f"{SPACE}+[^{SPACE}\n\t\r]*|[^{SPACE}\n\t\r]+|[\n\t\r]+")
 #: Bytes of text whose words are looked up together, and the parts that words are dealt to for each shuffle partition.
-BLOCK_BYTES, PARTS_PER_PARTITION = 24 << 20, 1
+BLOCK_BYTES, PARTS_PER_PARTITION = 4 << 20, 4
 #: Score of a character that is no piece and falls back to its bytes, below the lowest piece's.
 FALLBACK = -10.0
 
@@ -49,35 +49,45 @@ def normalized(text: str) -> str:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, end, score, ids): the edges of each word's lattice, for words(keys, word).
+    """(keys, start, end, score, id): the edges of each word's lattice, for words(keys, word).
 
-    Substrings of up to the longest piece's length are joined to the pieces. A character that is none falls back to the ids
-    of its UTF-8 bytes. The table of pieces is broadcast: it is a vocabulary, of a size fixed by its file.
+    Substrings of up to the longest piece's length are joined to the pieces. A character that is none has the number of its
+    UTF-8 bytes, below zero, for an id. The table of pieces is broadcast: it is a vocabulary, of a size fixed by its file.
     """
     own = pieces.where(~F.col("bytes"))
-    longest, lowest, first = own.agg(F.max(F.length("piece")), F.min("score"), F.lit(0)).first()
-    zero = pieces.where(F.col("piece") == "<0x00>").select("id").first()
+    longest, lowest = own.agg(F.max(F.length("piece")), F.min("score")).first()
     length = F.length("word")
     starts = words.where("word <> ''").select(*keys, "word", F.explode(F.sequence(F.lit(0), length - 1)).alias("start"))
     cut = starts.select(*keys, "start", "word", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), length - F.col("start")))).alias("n"))
     cut = cut.select(*keys, "start", "n", F.substring("word", F.col("start") + 1, F.col("n")).alias("piece"))
     met = cut.join(F.broadcast(own.select("piece", "id", "score")), "piece", "left").where("id is not null or n = 1")
-    code = F.hex(F.encode("piece", "UTF-8"))
-    fallback = F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(code, i.cast("int") * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.lit(zero.id if zero else 0))
-    unknown = fallback if zero else F.array(F.lit(0))
-    return met.select(*keys, "start", (F.col("start") + F.col("n")).alias("end"), F.coalesce("score", F.lit(lowest + FALLBACK)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(unknown).alias("ids"))
+    code = -1 - F.conv(F.hex(F.encode("piece", "UTF-8")), 16, 10).cast("long")
+    return met.select(*keys, "start", (F.col("start") + F.col("n")).alias("end"), F.coalesce("score", F.lit(lowest + FALLBACK)).alias("score"), F.coalesce("id", code).alias("id"))
+
+
+def spelled_out(ids: Column, zero: int | None) -> Column:
+    """Ids with those of bytes in place of negative ones; zero is the id of byte 0, and unknown characters are 0 without it."""
+
+    def one(x: Column) -> Column:
+        code = F.hex(-1 - x)
+        code = F.lpad(code, F.length(code) + F.length(code) % 2, F.lit("0"))
+        pairs = F.sequence(F.lit(1), F.length(code), F.lit(2))
+        own = F.transform(pairs, lambda i: F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int") + F.lit(zero or 0)) if zero is not None else F.array(F.lit(0))
+        return F.when(x >= 0, F.array(x.cast("int"))).otherwise(own)
+
+    return F.when(F.exists(ids, lambda x: x < 0), F.flatten(F.transform(ids, one))).otherwise(ids.cast("array<int>"))
 
 
 def viterbi(edges: Column) -> Column:
-    """The ids of the best path over edges (end, start, score, ids), sorted: the greatest sum of scores, of equal ones the
+    """The ids of the best path over edges (end, start, score, id), sorted: the greatest sum of scores, of equal ones the
     path with the longest last piece. The state holds the best path to each character."""
-    kind = "array<struct<score:double,ids:array<int>>>"
-    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids"))).cast(kind)
+    kind = "array<struct<score:double,ids:array<bigint>>>"
+    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<bigint>").alias("ids"))).cast(kind)
 
     def step(state: Column, e: Column) -> Column:
         before = F.get(state, e["start"])
         total = before["score"] + e["score"]
-        path = F.array(F.struct(total.alias("score"), F.concat(before["ids"], e["ids"]).alias("ids")))
+        path = F.array(F.struct(total.alias("score"), F.concat(before["ids"], F.array(e["id"])).alias("ids")))
         return F.when(e["end"] == F.size(state), F.concat(state, path)).when(total > F.get(state, e["end"])["score"], F.concat(F.slice(state, F.lit(1), F.size(state) - 1), path)).otherwise(state)
 
     return F.element_at(F.aggregate(edges, origin, step), -1)["ids"]
@@ -86,8 +96,10 @@ def viterbi(edges: Column) -> Column:
 def encode_words(words: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
     """words(keys, word), distinct, with the ids of each word. Empty words are left out."""
     edges = lattice(words.withColumn("w", F.col("word")), pieces, [*keys, "w"])
-    by = edges.groupBy(*keys, F.col("w").alias("word")).agg(F.sort_array(F.collect_list(F.struct("end", "start", "score", "ids"))).alias("edges"))
-    return by.select(*keys, "word", viterbi(F.col("edges")).alias("ids"))
+    by = edges.groupBy(*keys, F.col("w").alias("word")).agg(F.sort_array(F.collect_list(F.struct("end", "start", "score", "id"))).alias("edges"))
+    zero = pieces.where(F.col("piece") == "<0x00>").select("id").first()
+    paths = by.select(*keys, "word", viterbi(F.col("edges")).alias("ids"))
+    return paths.select(*keys, "word", spelled_out(F.col("ids"), zero.id if zero else None).alias("ids"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
@@ -105,17 +117,38 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield part << 32 | n, ids, texts
 
 
+def _spans(text: str) -> list[str]:
+    """A text cut at its spaces where each of these begins a word; else the text whole, marked by a space in front."""
+    plain = "  " not in text and SPACE not in text and text[:1] != " " and text[-1:] != " "
+    return text.split(" ") if text and plain else [" " + text] if text else []
+
+
+def _words(span: str) -> list[str]:
+    """The words of a span."""
+    return WORD.findall(normalized(span[1:] if span[0] == " " else span))
+
+
 def _vocabulary(texts: list[str], parts: int) -> dict[int, list[str]]:
     """The distinct words of texts, sorted, by the part they are dealt to."""
-    distinct: set[str] = set()
+    spans: set[str] = set()
     for t in texts:
-        distinct.update(WORD.findall(normalized(t)))
+        spans.update(_spans(t))
+    distinct: set[str] = set()
+    for x in spans:
+        distinct.update(_words(x))
     out: dict[int, list[str]] = {}
     for w in sorted(distinct):
         out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts, []).append(w)
     return out
 
 
+def _gathered(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The ids of the words numbered by which, one after another."""
+    n = lengths[which]
+    shift = np.repeat(starts[which] - np.cumsum(n) + n, n)
+    return ids[shift + np.arange(len(shift))]
+
+
 #: Stands between the words of a part; no word holds it.
 _BETWEEN = " "
 
@@ -138,7 +171,7 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(list(words), pa.int32()), pa.array([_BETWEEN.join(w) for w in words.values()], pa.string())], ["block", "part", "words"])
 
     sent = written(rows.mapInArrow(send, "block long, part int, words string"), "vocabularies")
-    at_part = sent.repartition("part")
+    at_part = sent.repartition(parts, "part")
     distinct = at_part.select("part", F.explode(F.split("words", _BETWEEN)).alias("word")).groupBy("part", "word").agg(F.lit(1).alias("one")).select("part", "word")
     table = encode_words(distinct, pieces, ["part"])
 
@@ -167,17 +200,29 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
             for n in sizes:
                 texts.append(data[at : at + n].decode("utf-8", "surrogatepass"))
                 at += n
-            known: dict[str, np.ndarray] = {}
+            number: dict[str, int] = {}
+            all_lengths, all_ids = [], []
             for part, words in _vocabulary(texts, parts).items():
                 lengths = np.frombuffer(open_.decompress(by_part[part][0]), np.uint32)
-                ids = np.frombuffer(open_.decompress(by_part[part][1]), np.uint32).astype(np.int32)
                 if len(lengths) != len(words):
                     raise RuntimeError("the input's partitions changed between two reads; write it to a table first")
-                known.update(zip(words, np.split(ids, np.cumsum(lengths)[:-1]), strict=True))
+                number.update(zip(words, range(len(number), len(number) + len(words)), strict=True))
+                all_lengths.append(lengths)
+                all_ids.append(np.frombuffer(open_.decompress(by_part[part][1]), np.uint32))
+            lengths = np.concatenate(all_lengths).astype(np.int64) if all_lengths else np.zeros(0, np.int64)
+            ids = np.concatenate(all_ids).astype(np.int32) if all_ids else np.zeros(0, np.int32)
+            starts = np.cumsum(lengths) - lengths
+            spans: dict[str, list[int]] = {}
             for doc, t in zip(doc_ids, texts, strict=True):
-                own = [known[w] for w in WORD.findall(normalized(t))]
-                ids = np.concatenate(own) if own else np.zeros(0, np.int32)
-                out.append((doc, len(own), len(ids), ids))
+                which: list[int] = []
+                for x in _spans(t):
+                    own = spans.get(x)
+                    if own is None:
+                        own = spans[x] = [number[w] for w in _words(x)]
+                    which += own
+                row = _gathered(ids, starts, lengths, np.array(which, np.int64))
+                out.append((doc, len(which), len(row), row))
+        pa.default_memory_pool().release_unused()
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_pieces", "ids"]).astype({"doc_id": "Int64"})
 
     packed = rows.mapInArrow(pack, "block long, doc_ids array<long>, sizes array<int>, texts binary")
