@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import zlib
@@ -30,7 +31,8 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     """(piece, id, score, bytes) of a model file: bytes says whether a piece stands for one byte.
 
     A unigram model's scores are log-probabilities. The scores of a BPE model are ranks of merges; a piece then gets the
-    log of its rank's reciprocal, as if frequencies fell by Zipf's law.
+    log of its rank's reciprocal, as if frequencies fell by Zipf's law. Scores are of single precision, as in unigram models;
+    sums of them in double precision are exact, so that rounding never decides between paths that are equally good.
     """
     from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -39,7 +41,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         model.ParseFromString(f.read())
     unigram = model.trainer_spec.model_type == 1
     kinds = pb.ModelProto.SentencePiece
-    rows = [(p.piece, i, float(p.score) if unigram else -math.log(i + 1), p.type == kinds.BYTE) for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED, kinds.BYTE)]
+    rows = [(p.piece, i, float(p.score) if unigram else float(np.float32(-math.log(i + 1))), p.type == kinds.BYTE) for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED, kinds.BYTE)]
     return spark.createDataFrame(rows, "piece string, id int, score double, bytes boolean")
 
 
@@ -48,6 +50,17 @@ def normalized(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def cuts(pieces: DataFrame) -> re.Pattern:
+    """Finds the places within a word, between a letter and another character, that no piece reaches across: the parts on
+    either side have lattices of their own, and far fewer of them are distinct than words are."""
+    texts = [r.piece for r in pieces.where(~F.col("bytes")).select("piece").collect()]
+    odd = {c for t in texts for c in t if re.match(r"[^\W\d_]", c) and not c.isalpha()}
+    beside = {SPACE} | {b if a.isalpha() else a for t in texts for a, b in zip(t, t[1:], strict=False) if a.isalpha() != b.isalpha()}
+    odd, beside = (re.escape("".join(sorted(x))) for x in (odd, beside))
+    letter, other = rf"[^\W\d_{odd}]", rf"(?:(?![{beside}])[\W\d_{odd}])"
+    return re.compile(rf"(?<={letter})(?={other})|(?<!{letter})(?<![{beside}])(?={letter})(?!^)")
+
+
 def lattice(words: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start, end, score, id): the edges of each word's lattice, for words(keys, word).
 
@@ -123,19 +136,31 @@ def _spans(text: str) -> list[str]:
     return text.split(" ") if text and plain else [" " + text] if text else []
 
 
-def _words(span: str) -> list[str]:
-    """The words of a span."""
-    return WORD.findall(normalized(span[1:] if span[0] == " " else span))
+def _words(span: str, cut: re.Pattern) -> tuple[int, list[str]]:
+    """How many words a span has, and these, or their parts between cuts."""
+    words = WORD.findall(normalized(span[1:] if span[0] == " " else span))
+    if len(words) == 1 and words[0][1:].isalpha():
+        return 1, words
+    return len(words), [x for w in words for x in cut.split(w)]
+
+
+def _trimmed() -> None:
+    """Hands memory that is free back to the system, since Spark keeps its Python workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library, without it
+        return
 
 
-def _vocabulary(texts: list[str], parts: int) -> dict[int, list[str]]:
+def _vocabulary(texts: list[str], parts: int, cut: re.Pattern) -> dict[int, list[str]]:
     """The distinct words of texts, sorted, by the part they are dealt to."""
     spans: set[str] = set()
     for t in texts:
         spans.update(_spans(t))
     distinct: set[str] = set()
     for x in spans:
-        distinct.update(_words(x))
+        distinct.update(_words(x, cut)[1])
     out: dict[int, list[str]] = {}
     for w in sorted(distinct):
         out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts, []).append(w)
@@ -164,15 +189,18 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = cuts(pieces)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in _blocks(batches):
-            words = _vocabulary(texts, parts)
+            words = _vocabulary(texts, parts, cut)
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(list(words), pa.int32()), pa.array([_BETWEEN.join(w) for w in words.values()], pa.string())], ["block", "part", "words"])
 
     sent = written(rows.mapInArrow(send, "block long, part int, words string"), "vocabularies")
     at_part = sent.repartition(parts, "part")
-    distinct = at_part.select("part", F.explode(F.split("words", _BETWEEN)).alias("word")).groupBy("part", "word").agg(F.lit(1).alias("one")).select("part", "word")
+    each = at_part.select("part", "block", F.explode(F.split("words", _BETWEEN)).alias("word"))
+    # asking for the block too makes this exchange the same as the one below, which Spark then runs once
+    distinct = each.groupBy("part", "word").agg(F.min("block").alias("first")).where("first is not null").select("part", "word")
     table = encode_words(distinct, pieces, ["part"])
 
     def answer(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -182,6 +210,7 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
             own = [ids[w] for w in words.split(_BETWEEN)]
             lengths = np.fromiter(map(len, own), np.uint32, len(own))
             out.append((block, squeeze.compress(lengths.tobytes()), squeeze.compress(np.concatenate(own).astype(np.uint32).tobytes())))
+        _trimmed()
         return pd.DataFrame({"block": asks["block"], "part": asks["part"], "lengths": [o[1] for o in out], "ids": [o[2] for o in out]})
 
     back = at_part.groupBy("part").cogroup(table.select(F.col("part").alias("own_part"), "word", "ids").groupBy("own_part")).applyInPandas(answer, "block long, part int, lengths binary, ids binary")
@@ -202,7 +231,7 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
                 at += n
             number: dict[str, int] = {}
             all_lengths, all_ids = [], []
-            for part, words in _vocabulary(texts, parts).items():
+            for part, words in _vocabulary(texts, parts, cut).items():
                 lengths = np.frombuffer(open_.decompress(by_part[part][0]), np.uint32)
                 if len(lengths) != len(words):
                     raise RuntimeError("the input's partitions changed between two reads; write it to a table first")
@@ -213,16 +242,21 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
             ids = np.concatenate(all_ids).astype(np.int32) if all_ids else np.zeros(0, np.int32)
             starts = np.cumsum(lengths) - lengths
             spans: dict[str, list[int]] = {}
+            counts: dict[str, int] = {}
             for doc, t in zip(doc_ids, texts, strict=True):
                 which: list[int] = []
+                n_words = 0
                 for x in _spans(t):
                     own = spans.get(x)
                     if own is None:
-                        own = spans[x] = [number[w] for w in _words(x)]
+                        n, words = _words(x, cut)
+                        own = spans[x] = [number[w] for w in words]
+                        counts[x] = n
                     which += own
+                    n_words += counts[x]
                 row = _gathered(ids, starts, lengths, np.array(which, np.int64))
-                out.append((doc, len(which), len(row), row))
-        pa.default_memory_pool().release_unused()
+                out.append((doc, n_words, len(row), row))
+        _trimmed()
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_pieces", "ids"]).astype({"doc_id": "Int64"})
 
     packed = rows.mapInArrow(pack, "block long, doc_ids array<long>, sizes array<int>, texts binary")
