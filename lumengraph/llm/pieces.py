@@ -9,7 +9,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -153,20 +152,32 @@ def _trimmed() -> None:
         return
 
 
-def _vocabulary(texts: list[str], parts: int, cut: re.Pattern) -> dict[int, list[str]]:
-    """The distinct words of texts, sorted, by the part they are dealt to."""
+def _spelled(texts: list[str], cut: re.Pattern) -> dict[str, tuple[int, list[str]]]:
+    """The distinct spans of texts, each with its number of words and these, or their parts."""
     spans: set[str] = set()
     for t in texts:
         spans.update(_spans(t))
-    distinct: set[str] = set()
-    for x in spans:
-        distinct.update(_words(x, cut)[1])
+    return {x: (1, [SPACE + x]) if x.isalpha() else _words(x, cut) for x in spans}
+
+
+def _vocabulary(spelled: dict[str, tuple[int, list[str]]], parts: int) -> dict[int, list[str]]:
+    """The distinct words of spans, sorted, by the part they are dealt to."""
     out: dict[int, list[str]] = {}
-    for w in sorted(distinct):
+    for w in sorted({w for _, words in spelled.values() for w in words}):
         out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts, []).append(w)
     return out
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, compressed: all lowest bytes first, then all second ones, since each kind is alike in itself."""
+    return zstandard.ZstdCompressor(3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def _gathered(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The ids of the words numbered by which, one after another."""
     n = lengths[which]
@@ -193,7 +204,7 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in _blocks(batches):
-            words = _vocabulary(texts, parts, cut)
+            words = _vocabulary(_spelled(texts, cut), parts)
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(list(words), pa.int32()), pa.array([_BETWEEN.join(w) for w in words.values()], pa.string())], ["block", "part", "words"])
 
     sent = written(rows.mapInArrow(send, "block long, part int, words string"), "vocabularies")
@@ -203,17 +214,18 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
     distinct = each.groupBy("part", "word").agg(F.min("block").alias("first")).where("first is not null").select("part", "word")
     table = encode_words(distinct, pieces, ["part"])
 
-    def answer(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        ids = dict(zip(known["word"], known["ids"], strict=True))
-        squeeze, out = zstandard.ZstdCompressor(3), []
-        for block, words in zip(asks["block"], asks["words"], strict=True):
-            own = [ids[w] for w in words.split(_BETWEEN)]
-            lengths = np.fromiter(map(len, own), np.uint32, len(own))
-            out.append((block, squeeze.compress(lengths.tobytes()), squeeze.compress(np.concatenate(own).astype(np.uint32).tobytes())))
+    def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
+        number = {w: i for i, w in enumerate(known["word"].to_pylist())}
+        lists = pa.concat_arrays(known["ids"].chunks) if len(known) else pa.array([], pa.list_(pa.int32()))
+        ids, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        starts, out = np.cumsum(lengths) - lengths, []
+        for words in asks["words"].to_pylist():
+            which = np.fromiter(map(number.__getitem__, words.split(_BETWEEN)), np.int64)
+            out.append((_packed(lengths[which]), _packed(_gathered(ids, starts, lengths, which))))
         _trimmed()
-        return pd.DataFrame({"block": asks["block"], "part": asks["part"], "lengths": [o[1] for o in out], "ids": [o[2] for o in out]})
+        return pa.table({"block": asks["block"], "part": asks["part"], "lengths": pa.array([o[0] for o in out], pa.binary()), "ids": pa.array([o[1] for o in out], pa.binary())})
 
-    back = at_part.groupBy("part").cogroup(table.select(F.col("part").alias("own_part"), "word", "ids").groupBy("own_part")).applyInPandas(answer, "block long, part int, lengths binary, ids binary")
+    back = at_part.groupBy("part").cogroup(table.select(F.col("part").alias("own_part"), "word", "ids").groupBy("own_part")).applyInArrow(answer, "block long, part int, lengths binary, ids binary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(3)
@@ -221,46 +233,45 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
             data = utf8(texts)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, data))], pa.list_(pa.int32())), pa.array([squeeze.compress(b"".join(data))], pa.binary())], ["block", "doc_ids", "sizes", "texts"])
 
-    def write(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        open_, out = zstandard.ZstdDecompressor(), []
-        by_part = {p: (n, i) for p, n, i in zip(answers["part"], answers["lengths"], answers["ids"], strict=True)}
-        for doc_ids, sizes, packed in zip(blocks["doc_ids"], blocks["sizes"], blocks["texts"], strict=True):
+    def write(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        open_ = zstandard.ZstdDecompressor()
+        by_part = {p: (n, i) for p, n, i in zip(answers["part"].to_pylist(), answers["lengths"].to_pylist(), answers["ids"].to_pylist(), strict=True)}
+        docs_, n_words, n_ids, rows_ = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for doc_ids, sizes, packed in zip(blocks["doc_ids"].to_pylist(), blocks["sizes"].to_pylist(), blocks["texts"].to_pylist(), strict=True):
             data, at, texts = open_.decompress(packed), 0, []
             for n in sizes:
                 texts.append(data[at : at + n].decode("utf-8", "surrogatepass"))
                 at += n
+            spelled = _spelled(texts, cut)
             number: dict[str, int] = {}
-            all_lengths, all_ids = [], []
-            for part, words in _vocabulary(texts, parts, cut).items():
-                lengths = np.frombuffer(open_.decompress(by_part[part][0]), np.uint32)
-                if len(lengths) != len(words):
+            lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for part, words in _vocabulary(spelled, parts).items():
+                lengths.append(_unpacked(by_part[part][0]))
+                ids.append(_unpacked(by_part[part][1]))
+                if len(lengths[-1]) != len(words):
                     raise RuntimeError("the input's partitions changed between two reads; write it to a table first")
                 number.update(zip(words, range(len(number), len(number) + len(words)), strict=True))
-                all_lengths.append(lengths)
-                all_ids.append(np.frombuffer(open_.decompress(by_part[part][1]), np.uint32))
-            lengths = np.concatenate(all_lengths).astype(np.int64) if all_lengths else np.zeros(0, np.int64)
-            ids = np.concatenate(all_ids).astype(np.int32) if all_ids else np.zeros(0, np.int32)
-            starts = np.cumsum(lengths) - lengths
-            spans: dict[str, list[int]] = {}
-            counts: dict[str, int] = {}
+            # the ids of each distinct span, then those of each text as a run of spans
+            lengths = np.concatenate(lengths)
+            which = np.fromiter((number[w] for _, words in spelled.values() for w in words), np.int64)
+            words_in, parts_in = (np.fromiter(x, np.int64, len(spelled)) for x in ((n for n, _ in spelled.values()), (len(w) for _, w in spelled.values())))
+            span_ids = _gathered(np.concatenate(ids).astype(np.int32), np.cumsum(lengths) - lengths, lengths, which)
+            ends = np.concatenate([[0], np.cumsum(lengths[which])])[np.concatenate([[0], np.cumsum(parts_in)])]
+            span_starts, span_lengths = ends[:-1], np.diff(ends)
+            order = dict(zip(spelled, range(len(spelled)), strict=True))
             for doc, t in zip(doc_ids, texts, strict=True):
-                which: list[int] = []
-                n_words = 0
-                for x in _spans(t):
-                    own = spans.get(x)
-                    if own is None:
-                        n, words = _words(x, cut)
-                        own = spans[x] = [number[w] for w in words]
-                        counts[x] = n
-                    which += own
-                    n_words += counts[x]
-                row = _gathered(ids, starts, lengths, np.array(which, np.int64))
-                out.append((doc, n_words, len(row), row))
+                run = np.fromiter(map(order.__getitem__, _spans(t)), np.int64)
+                docs_.append(doc)
+                rows_.append(_gathered(span_ids, span_starts, span_lengths, run) if len(run) else rows_[0])
+                n_words.append(words_in[run].sum(keepdims=True))
+                n_ids.append(np.array([len(rows_[-1])]))
+        n_ids = np.concatenate(n_ids)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_ids)]), pa.int32()), pa.array(np.concatenate(rows_), pa.int32()))
         _trimmed()
-        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_pieces", "ids"]).astype({"doc_id": "Int64"})
+        return pa.table({"doc_id": pa.array(docs_, pa.int64()), "n_words": pa.array(np.concatenate(n_words), pa.int64()), "n_pieces": pa.array(n_ids, pa.int64()), "ids": lists})
 
     packed = rows.mapInArrow(pack, "block long, doc_ids array<long>, sizes array<int>, texts binary")
-    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(write, "doc_id long, n_words long, n_pieces long, ids array<int>")
+    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(write, "doc_id long, n_words long, n_pieces long, ids array<int>")
 
 
 def decode(rows: DataFrame, pieces: DataFrame, keys: list[str], ids_col: str = "ids") -> DataFrame:
