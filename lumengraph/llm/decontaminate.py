@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,9 @@ from lumengraph.llm.common import written
 PASSAGE, STRIDE = 48, 16
 #: Most latent dimensions, and the spare ones of the randomised factorisation.
 RANK, SPARE = 256, 8
+#: Items of which a passage has less than this share of its weight in the latent space are searched for in groups of up to
+#: RANK passages, whose own space holds them whole; and such groups in one round over the encoded documents.
+SHARE, ROUND_GROUPS = 0.9, 8
 #: Terms that more than this share of the documents hold don't take part in retrieval.
 COMMON = 0.05
 #: Least cosine of a candidate, and least share of an item's weight that it holds; least share of an item's words in order
@@ -97,15 +101,19 @@ def latent_terms(passages: DataFrame, size: int, passage_count: int, rank: int =
                     total[terms] += np.outer(weights, weights @ sent.value[terms])
                     hit[terms] = True
             term = np.flatnonzero(hit)
-            yield pd.DataFrame({"term": term.astype(np.int32), "row": list(total[term])})
+            yield pd.DataFrame({"term": term.astype(np.int32), "row": [x.tobytes() for x in total[term]]})
 
-        def add(b: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"term": b["term"].iloc[:1], "row": [np.sum(np.stack(b["row"]), 0)]})
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[int, np.ndarray] = {}
+            for b in batches:
+                for term, row in zip(b["term"], b["row"], strict=True):
+                    total[term] = total[term] + np.frombuffer(row) if term in total else np.frombuffer(row)
+            yield pd.DataFrame({"term": np.array(list(total), np.int32), "row": [x.tobytes() for x in total.values()]})
 
-        sums = passages.mapInPandas(run, "term int, row array<double>").groupBy("term").applyInPandas(add, "term int, row array<double>").toPandas()
+        sums = passages.mapInPandas(run, "term int, row binary").repartition("term").mapInPandas(add, "term int, row binary").collect()
         out = np.zeros(basis.shape)
-        if len(sums):
-            out[sums["term"].to_numpy(np.int64)] = np.stack(sums["row"])
+        for term, row in sums:
+            out[term] = np.frombuffer(row)
         return out
 
     basis = np.random.default_rng(seed).normal(size=(size, width))
@@ -142,6 +150,20 @@ def _passages(ids: list[int]) -> list[list[int]]:
     return [ids[min(i, len(ids) - PASSAGE) : min(i, len(ids) - PASSAGE) + PASSAGE] for i in range(0, len(ids), PASSAGE)]
 
 
+def _rounds(items: list[list[int]]) -> list[list[list[int]]]:
+    """Rounds of groups of up to RANK passages each, for the passages of each item; those of one item share a round."""
+    rounds, groups = [], [[]]
+    for own in items:
+        if len(groups) > ROUND_GROUPS or len(groups) == ROUND_GROUPS and len(groups[-1]) + len(own) > RANK:
+            rounds.append(groups)
+            groups = [[]]
+        for p in own:
+            if len(groups[-1]) == RANK:
+                groups.append([])
+            groups[-1].append(p)
+    return [*rounds, groups] if groups[-1] else rounds
+
+
 FOUND = "doc_id long, key binary, item_id long, cosine double, lcs double, answer boolean"
 
 
@@ -159,47 +181,74 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
         if len(x) and rare[np.unique(x)].sum() < 3:
             rare[x] = True
     idf = np.where(rare, np.log((1 + n_docs) / (1 + held)) + 1e-3, 0.0)
-    rows, owner, least = [], [], []
+    rows, owner, norms = [], [], []
     for i, (_, x, _) in enumerate(numbers):
         for p in _passages(x.tolist()):
             terms, n = np.unique(np.array(p), return_counts=True)
             weights = n * idf[terms]
             if norm := float(np.sqrt((weights**2).sum())):
-                rows.append((terms[weights > 0].tolist(), (weights[weights > 0] / norm).tolist()))
+                rows.append((terms[weights > 0], weights[weights > 0] / norm))
                 owner.append(i)
-                least.append(WEIGHT * norm)
+                norms.append(norm)
     if not rows:
         return spark.createDataFrame([], FOUND)
-    passages = spark.createDataFrame(rows, "terms array<int>, weights array<double>").repartition(max(1, len(rows) // 500))
+    passages = spark.createDataFrame([(t.tolist(), w.tolist()) for t, w in rows], "terms array<int>, weights array<double>").repartition(max(1, len(rows) // 500))
     latent = latent_terms(passages, size, len(rows))
-    table = np.zeros((len(rows), latent.shape[1]), np.float32)
-    for i, (terms, weights) in enumerate(rows):
-        table[i] = np.array(weights) @ latent[terms]
-    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
-    terms = (latent * idf[:, None]).astype(np.float32)
-    sent = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps((terms, idf > 0, table, np.array(owner), np.array(least, np.float32), numbers)), 1))
-
-    def candidates(ids: np.ndarray, terms: np.ndarray, use: np.ndarray, table: np.ndarray, owner: np.ndarray, least: np.ndarray) -> dict[int, list[tuple[float, float, int]]]:
-        """(weight, cosine, first word) of the passages of a text that come near an item, by item, the heaviest first; of
-        overlapping ones only the heaviest."""
-        at = np.flatnonzero(use[ids] & (ids >= 0))
-        if len(at) < 2:
-            return {}
+    weak = {owner[i] for i, (t, w) in enumerate(rows) if np.linalg.norm(w @ latent[t]) < SHARE}
+    of_weak: dict[int, list[int]] = {}
+    for i, o in enumerate(owner):
+        if o in weak:
+            of_weak.setdefault(o, []).append(i)
+    strong = [i for i, o in enumerate(owner) if o not in weak]
+
+    def group(own: list[int], latent: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """What a group of passages is searched for with: the numbers of its terms, their directions, the passages' directions,
+        their items, and the least weights. Without latent directions it gets its own, which hold all of its passages."""
+        used = np.unique(np.concatenate([rows[i][0] for i in own]))
+        at = np.full(size, -1, np.int32)
+        at[used] = np.arange(len(used))
+        if latent is None:
+            whole = np.zeros((len(own), len(used)))
+            for k, i in enumerate(own):
+                whole[k, at[rows[i][0]]] = rows[i][1]
+            values, turn = np.linalg.eigh(whole @ whole.T)
+            held = values > values.max() * 1e-9
+            directions = whole.T @ (turn[:, held] / np.sqrt(values[held]))
+        else:
+            directions = latent[used]
+        table = np.stack([rows[i][1] @ directions[at[rows[i][0]]] for i in own]).astype(np.float32)
+        length = np.maximum(np.linalg.norm(table, axis=1), 1e-9)
+        least = (WEIGHT * length * np.array([norms[i] for i in own])).astype(np.float32)
+        return at, (directions * idf[used, None]).astype(np.float32), table / length[:, None], np.array([owner[i] for i in own]), least
+
+    k = PASSAGE // STRIDE
+
+    def meets(ids: np.ndarray, number: np.ndarray, terms: np.ndarray, table: np.ndarray, owner: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, float, float, int]]:
+        """(item, weight, cosine, window) of the windows of a text that come near a passage of a group."""
+        at = np.flatnonzero((ids >= 0) & (number[ids] >= 0))
+        if not len(at):
+            return
         strips, first = np.unique(at // STRIDE, return_index=True)
-        k = PASSAGE // STRIDE
         sums = np.zeros((int(strips[-1]) + k, terms.shape[1]), np.float32)
-        sums[strips] = np.add.reduceat(terms[ids[at]], first, axis=0)
+        sums[strips] = np.add.reduceat(terms[number[ids[at]]], first, axis=0)
         n = len(sums) - k + 1
         window = sums[:n].copy()
         for j in range(1, k):
             window += sums[j : n + j]
         heavy = np.flatnonzero(np.einsum("ij,ij->i", window, window) >= least.min() ** 2)
-        near: dict[int, list[tuple[float, float, int]]] = {}
         for start in range(0, len(heavy), 1 << 14):
             some = heavy[start : start + (1 << 14)]
             weight, size = window[some] @ table.T, np.linalg.norm(window[some], axis=1)
             for i, j in zip(*np.nonzero((weight >= COSINE * size[:, None]) & (weight >= least)), strict=True):
-                near.setdefault(int(owner[j]), []).append((float(weight[i, j]), float(weight[i, j] / size[i]), int(some[i])))
+                yield int(owner[j]), float(weight[i, j]), float(weight[i, j] / size[i]), int(some[i])
+
+    def candidates(ids: np.ndarray, groups: list[tuple[np.ndarray, ...]]) -> dict[int, list[tuple[float, float, int]]]:
+        """(weight, cosine, first word) of the passages of a text that come near an item, by item, the heaviest first; of
+        overlapping ones only the heaviest."""
+        near: dict[int, list[tuple[float, float, int]]] = {}
+        for g in groups:
+            for item, *met in meets(ids, *g):
+                near.setdefault(item, []).append(tuple(met))
         out = {}
         for item, all_ in near.items():
             most: dict[int, float] = {}
@@ -209,24 +258,36 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
             out[item] = sorted(peaks, reverse=True)
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, use, table, owner, least, numbers = cloudpickle.loads(zlib.decompress(sent.value))
-        for b in batches:
-            out = []
-            for doc, key, packed in zip(b["doc_id"], b["key"], b["ids"], strict=True):
-                ids = _ids(packed)
-                for i, peaks in candidates(ids, terms, use, table, owner, least).items():
-                    item, x, answer = numbers[i]
-                    for _, cosine, start in peaks:
-                        part = ids[max(0, start - len(x)) : start + PASSAGE + len(x)]
-                        share = common_subsequence(x, part) / len(x)
-                        said = _contains(part, answer)
-                        if share >= COPY or share >= PARAPHRASE and said:
-                            out.append((doc, key, item, cosine, share, said))
-                            break
-            yield pd.DataFrame(out, columns=["doc_id", "key", "item_id", "cosine", "lcs", "answer"]).astype({"doc_id": "Int64", "item_id": "int64", "cosine": "float64", "lcs": "float64", "answer": "bool"})
-
-    return coded.where("n > 0").select("doc_id", "key", "ids").mapInPandas(run, FOUND)
+    def search(groups: list[tuple[np.ndarray, ...]], last: bool) -> DataFrame:
+        sent = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps((groups, numbers)), 1))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            groups, numbers = cloudpickle.loads(zlib.decompress(sent.value))
+            for b in batches:
+                out = []
+                for doc, key, packed in zip(b["doc_id"], b["key"], b["ids"], strict=True):
+                    ids = _ids(packed)
+                    for i, peaks in candidates(ids, groups).items():
+                        item, x, answer = numbers[i]
+                        for _, cosine, start in peaks:
+                            part = ids[max(0, start - len(x)) : start + PASSAGE + len(x)]
+                            share = common_subsequence(x, part) / len(x)
+                            said = _contains(part, answer)
+                            if share >= COPY or share >= PARAPHRASE and said:
+                                out.append((doc, key, item, cosine, share, said))
+                                break
+                yield pd.DataFrame(out, columns=["doc_id", "key", "item_id", "cosine", "lcs", "answer"]).astype({"doc_id": "Int64", "item_id": "int64", "cosine": "float64", "lcs": "float64", "answer": "bool"})
+
+        found = coded.where("n > 0").select("doc_id", "key", "ids").mapInPandas(run, FOUND)
+        if last:
+            return found
+        found = written(found, "found")
+        sent.destroy()
+        return found
+
+    rounds = ([[strong]] if strong else []) + _rounds(list(of_weak.values()))
+    each = [search([group(own, latent if own is strong else None) for own in groups], n == len(rounds)) for n, groups in enumerate(rounds, 1)]
+    return reduce(DataFrame.unionByName, each)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:

@@ -353,6 +353,17 @@ def test_leaks_of_changed_items_and_edge_rows(spark, sample):
     assert decontaminate.leaks(rows, bench.limit(0)).count() == decontaminate.leaks(rows.limit(0), bench).count() == 0
 
 
+def test_copies_are_found_when_items_outgrow_the_rank(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(30_000)]
+    items = [[rng.choice(vocabulary) for _ in range(39)] for _ in range(2_500)]
+    noise = lambda: [rng.choice(vocabulary) for _ in range(rng.randrange(40, 90))]
+    held = [(d, rng.randrange(2_500)) for d in range(60)]
+    rows = docs(spark, [" ".join([*noise(), *items[i], *noise()]) for _, i in held])
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(rows, bench).collect()) == held
+
+
 def test_latent_terms_span_the_passages(spark):
     rng = np.random.default_rng(5)
     a = np.where(rng.random((12, 40)) < 0.3, rng.random((12, 40)), 0)
