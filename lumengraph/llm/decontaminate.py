@@ -144,6 +144,37 @@ def _contains(text: np.ndarray, part: np.ndarray) -> bool:
     return bool((np.lib.stride_tricks.sliding_window_view(text, len(part)) == part).all(1).any())
 
 
+def _confirmed(ids: np.ndarray, x: np.ndarray, answer: np.ndarray, met: list[tuple[float, float, int]]) -> tuple[float, float, bool] | None:
+    """(cosine, share, answer) of the first candidate (weight, cosine, first word) at which a text holds an item's words x.
+
+    Once the first one fails, candidates whose words overlap are merged into stretches: where a whole stretch holds too few
+    of the item's words in order, none of its candidates holds more.
+    """
+    reach = lambda start: (max(0, start - len(x)), start + PASSAGE + len(x))
+    tried: set[int] = set()
+    hopeless: set[int] = set()
+    for n, (_, cosine, start) in enumerate(met):
+        if n == 1:
+            stretches: list[list[int]] = []
+            for at in sorted({m[2] for m in met} - tried):
+                if stretches and reach(at)[0] < reach(stretches[-1][-1])[1]:
+                    stretches[-1].append(at)
+                else:
+                    stretches.append([at])
+            for own in stretches:
+                if common_subsequence(x, ids[reach(own[0])[0] : reach(own[-1])[1]]) < PARAPHRASE * len(x):
+                    hopeless.update(own)
+        if start in tried or start in hopeless:
+            continue
+        tried.add(start)
+        part = ids[slice(*reach(start))]
+        share = common_subsequence(x, part) / len(x)
+        said = _contains(part, answer)
+        if share >= COPY or share >= PARAPHRASE and said:
+            return cosine, share, said
+    return None
+
+
 def _passages(ids: list[int]) -> list[list[int]]:
     if len(ids) <= PASSAGE + STRIDE:
         return [ids]
@@ -193,7 +224,7 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
     if not rows:
         return spark.createDataFrame([], FOUND)
     passages = spark.createDataFrame([(t.tolist(), w.tolist()) for t, w in rows], "terms array<int>, weights array<double>").repartition(max(1, len(rows) // 500))
-    latent = latent_terms(passages, size, len(rows))
+    latent = latent_terms(passages, size, len(rows), RANK)
     weak = {owner[i] for i, (t, w) in enumerate(rows) if np.linalg.norm(w @ latent[t]) < SHARE}
     of_weak: dict[int, list[int]] = {}
     for i, o in enumerate(owner):
@@ -243,8 +274,8 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
                 yield int(owner[j]), float(weight[i, j]), float(weight[i, j] / size[i]), int(some[i])
 
     def candidates(ids: np.ndarray, groups: list[tuple[np.ndarray, ...]]) -> dict[int, list[tuple[float, float, int]]]:
-        """(weight, cosine, first word) of the passages of a text that come near an item, by item, the heaviest first; of
-        overlapping ones only the heaviest."""
+        """(weight, cosine, first word) of the passages of a text that come near an item, by item: first those that are the
+        heaviest of all that overlap them, then the others, each the heaviest first."""
         near: dict[int, list[tuple[float, float, int]]] = {}
         for g in groups:
             for item, *met in meets(ids, *g):
@@ -254,8 +285,8 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
             most: dict[int, float] = {}
             for w, _, i in all_:
                 most[i] = max(w, most.get(i, 0.0))
-            peaks = [(w, c, i * STRIDE) for w, c, i in all_ if all(w >= most.get(i + d, 0.0) for d in range(1 - k, k))]
-            out[item] = sorted(peaks, reverse=True)
+            peak = [all(w >= most.get(i + d, 0.0) for d in range(1 - k, k)) for w, _, i in all_]
+            out[item] = [(w, c, i * STRIDE) for _, (w, c, i) in sorted(zip(peak, all_, strict=True), reverse=True)]
         return out
 
     def search(groups: list[tuple[np.ndarray, ...]], last: bool) -> DataFrame:
@@ -267,15 +298,10 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
                 out = []
                 for doc, key, packed in zip(b["doc_id"], b["key"], b["ids"], strict=True):
                     ids = _ids(packed)
-                    for i, peaks in candidates(ids, groups).items():
+                    for i, met in candidates(ids, groups).items():
                         item, x, answer = numbers[i]
-                        for _, cosine, start in peaks:
-                            part = ids[max(0, start - len(x)) : start + PASSAGE + len(x)]
-                            share = common_subsequence(x, part) / len(x)
-                            said = _contains(part, answer)
-                            if share >= COPY or share >= PARAPHRASE and said:
-                                out.append((doc, key, item, cosine, share, said))
-                                break
+                        if held := _confirmed(ids, x, answer, met):
+                            out.append((doc, key, item, *held))
                 yield pd.DataFrame(out, columns=["doc_id", "key", "item_id", "cosine", "lcs", "answer"]).astype({"doc_id": "Int64", "item_id": "int64", "cosine": "float64", "lcs": "float64", "answer": "bool"})
 
         found = coded.where("n > 0").select("doc_id", "key", "ids").mapInPandas(run, FOUND)

@@ -353,7 +353,8 @@ def test_leaks_of_changed_items_and_edge_rows(spark, sample):
     assert decontaminate.leaks(rows, bench.limit(0)).count() == decontaminate.leaks(rows.limit(0), bench).count() == 0
 
 
-def test_copies_are_found_when_items_outgrow_the_rank(spark):
+def test_copies_are_found_when_items_outgrow_the_rank(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "RANK", 32)
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(30_000)]
     items = [[rng.choice(vocabulary) for _ in range(39)] for _ in range(2_500)]
@@ -364,6 +365,14 @@ def test_copies_are_found_when_items_outgrow_the_rank(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(rows, bench).collect()) == held
 
 
+def test_a_copy_beside_heavier_parts_is_found(spark):
+    item, other = [f"i{i}" for i in range(16)], [f"n{i}" for i in range(64)]
+    text = [*other[:32], *item, *other[32:48], *item[:8] * 6, *other[48:]]
+    rows = docs(spark, [" ".join(text), *(f"other text {i}" for i in range(30))])
+    found = decontaminate.leaks(rows, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert [(r.doc_id, r.item_id, r.lcs) for r in found.collect()] == [(0, 1, 1.0)]
+
+
 def test_latent_terms_span_the_passages(spark):
     rng = np.random.default_rng(5)
     a = np.where(rng.random((12, 40)) < 0.3, rng.random((12, 40)), 0)
