@@ -144,34 +144,38 @@ def _contains(text: np.ndarray, part: np.ndarray) -> bool:
     return bool((np.lib.stride_tricks.sliding_window_view(text, len(part)) == part).all(1).any())
 
 
-def _confirmed(ids: np.ndarray, x: np.ndarray, answer: np.ndarray, met: list[tuple[float, float, int]]) -> tuple[float, float, bool] | None:
-    """(cosine, share, answer) of the first candidate (weight, cosine, first word) at which a text holds an item's words x.
+def _confirmed(ids: np.ndarray, x: np.ndarray, cut: dict[int, np.ndarray], answer: np.ndarray, met: list[tuple[float, float, int, int]]) -> tuple[float, float, bool] | None:
+    """(cosine, share, answer) of the first candidate (weight, cosine, first word, passage) at which a text holds an item's
+    words x, or, of an item that is cut, the words of the passage that was met.
 
     Once the first one fails, candidates whose words overlap are merged into stretches: where a whole stretch holds too few
     of the item's words in order, none of its candidates holds more.
     """
-    reach = lambda start: (max(0, start - len(x)), start + PASSAGE + len(x))
-    tried: set[int] = set()
+    reach = lambda start, n: (max(0, start - n), start + PASSAGE + n)
+    tried: set[tuple[int, int]] = set()
     hopeless: set[int] = set()
-    for n, (_, cosine, start) in enumerate(met):
-        if n == 1:
+    for n, (_, cosine, start, passage) in enumerate(met):
+        if n == 1 and not cut:
             stretches: list[list[int]] = []
-            for at in sorted({m[2] for m in met} - tried):
-                if stretches and reach(at)[0] < reach(stretches[-1][-1])[1]:
+            for at in sorted({m[2] for m in met} - {t[0] for t in tried}):
+                if stretches and reach(at, len(x))[0] < reach(stretches[-1][-1], len(x))[1]:
                     stretches[-1].append(at)
                 else:
                     stretches.append([at])
             for own in stretches:
-                if common_subsequence(x, ids[reach(own[0])[0] : reach(own[-1])[1]]) < PARAPHRASE * len(x):
+                if common_subsequence(x, ids[reach(own[0], len(x))[0] : reach(own[-1], len(x))[1]]) < PARAPHRASE * len(x):
                     hopeless.update(own)
-        if start in tried or start in hopeless:
+        if start in hopeless:
             continue
-        tried.add(start)
-        part = ids[slice(*reach(start))]
-        share = common_subsequence(x, part) / len(x)
-        said = _contains(part, answer)
-        if share >= COPY or share >= PARAPHRASE and said:
-            return cosine, share, said
+        for which, wanted in ((-1, x), *([(passage, cut[passage])] if cut else [])):
+            if (start, which) in tried:
+                continue
+            tried.add((start, which))
+            part = ids[slice(*reach(start, len(wanted)))]
+            share = common_subsequence(wanted, part) / len(wanted)
+            said = _contains(part, answer)
+            if share >= COPY or share >= PARAPHRASE and said:
+                return cosine, share, said
     return None
 
 
@@ -213,11 +217,15 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
             rare[x] = True
     idf = np.where(rare, np.log((1 + n_docs) / (1 + held)) + 1e-3, 0.0)
     rows, owner, norms = [], [], []
+    cut: dict[int, dict[int, np.ndarray]] = {}  # the passages of items that are cut
     for i, (_, x, _) in enumerate(numbers):
-        for p in _passages(x.tolist()):
+        own = _passages(x.tolist())
+        for p in own:
             terms, n = np.unique(np.array(p), return_counts=True)
             weights = n * idf[terms]
             if norm := float(np.sqrt((weights**2).sum())):
+                if len(own) > 1:
+                    cut.setdefault(i, {})[len(rows)] = np.array(p, np.int32)
                 rows.append((terms[weights > 0], weights[weights > 0] / norm))
                 owner.append(i)
                 norms.append(norm)
@@ -234,7 +242,7 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
 
     def group(own: list[int], latent: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """What a group of passages is searched for with: the numbers of its terms, their directions, the passages' directions,
-        their items, and the least weights. Without latent directions it gets its own, which hold all of its passages."""
+        their numbers and items, and the least weights. Without latent directions it gets its own, which hold all of its passages."""
         used = np.unique(np.concatenate([rows[i][0] for i in own]))
         at = np.full(size, -1, np.int32)
         at[used] = np.arange(len(used))
@@ -250,12 +258,12 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
         table = np.stack([rows[i][1] @ directions[at[rows[i][0]]] for i in own]).astype(np.float32)
         length = np.maximum(np.linalg.norm(table, axis=1), 1e-9)
         least = (WEIGHT * length * np.array([norms[i] for i in own])).astype(np.float32)
-        return at, (directions * idf[used, None]).astype(np.float32), table / length[:, None], np.array([owner[i] for i in own]), least
+        return at, (directions * idf[used, None]).astype(np.float32), table / length[:, None], np.array(own), np.array([owner[i] for i in own]), least
 
     k = PASSAGE // STRIDE
 
-    def meets(ids: np.ndarray, number: np.ndarray, terms: np.ndarray, table: np.ndarray, owner: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, float, float, int]]:
-        """(item, weight, cosine, window) of the windows of a text that come near a passage of a group."""
+    def meets(ids: np.ndarray, number: np.ndarray, terms: np.ndarray, table: np.ndarray, passage: np.ndarray, owner: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, float, float, int, int]]:
+        """(item, weight, cosine, window, passage) of the windows of a text that come near a passage of a group."""
         at = np.flatnonzero((ids >= 0) & (number[ids] >= 0))
         if not len(at):
             return
@@ -271,36 +279,36 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
             some = heavy[start : start + (1 << 14)]
             weight, size = window[some] @ table.T, np.linalg.norm(window[some], axis=1)
             for i, j in zip(*np.nonzero((weight >= COSINE * size[:, None]) & (weight >= least)), strict=True):
-                yield int(owner[j]), float(weight[i, j]), float(weight[i, j] / size[i]), int(some[i])
+                yield int(owner[j]), float(weight[i, j]), float(weight[i, j] / size[i]), int(some[i]), int(passage[j])
 
-    def candidates(ids: np.ndarray, groups: list[tuple[np.ndarray, ...]]) -> dict[int, list[tuple[float, float, int]]]:
-        """(weight, cosine, first word) of the passages of a text that come near an item, by item: first those that are the
+    def candidates(ids: np.ndarray, groups: list[tuple[np.ndarray, ...]]) -> dict[int, list[tuple[float, float, int, int]]]:
+        """(weight, cosine, first word, passage) of the passages of a text that come near an item, by item: first those that are the
         heaviest of all that overlap them, then the others, each the heaviest first."""
-        near: dict[int, list[tuple[float, float, int]]] = {}
+        near: dict[int, list[tuple[float, float, int, int]]] = {}
         for g in groups:
             for item, *met in meets(ids, *g):
                 near.setdefault(item, []).append(tuple(met))
         out = {}
         for item, all_ in near.items():
             most: dict[int, float] = {}
-            for w, _, i in all_:
+            for w, _, i, _ in all_:
                 most[i] = max(w, most.get(i, 0.0))
-            peak = [all(w >= most.get(i + d, 0.0) for d in range(1 - k, k)) for w, _, i in all_]
-            out[item] = [(w, c, i * STRIDE) for _, (w, c, i) in sorted(zip(peak, all_, strict=True), reverse=True)]
+            peak = [all(w >= most.get(i + d, 0.0) for d in range(1 - k, k)) for w, _, i, _ in all_]
+            out[item] = [(w, c, i * STRIDE, p) for _, (w, c, i, p) in sorted(zip(peak, all_, strict=True), reverse=True)]
         return out
 
     def search(groups: list[tuple[np.ndarray, ...]], last: bool) -> DataFrame:
-        sent = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps((groups, numbers)), 1))
+        sent = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps((groups, numbers, cut)), 1))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            groups, numbers = cloudpickle.loads(zlib.decompress(sent.value))
+            groups, numbers, cut = cloudpickle.loads(zlib.decompress(sent.value))
             for b in batches:
                 out = []
                 for doc, key, packed in zip(b["doc_id"], b["key"], b["ids"], strict=True):
                     ids = _ids(packed)
                     for i, met in candidates(ids, groups).items():
                         item, x, answer = numbers[i]
-                        if held := _confirmed(ids, x, answer, met):
+                        if held := _confirmed(ids, x, cut.get(i, {}), answer, met):
                             out.append((doc, key, item, *held))
                 yield pd.DataFrame(out, columns=["doc_id", "key", "item_id", "cosine", "lcs", "answer"]).astype({"doc_id": "Int64", "item_id": "int64", "cosine": "float64", "lcs": "float64", "answer": "bool"})
 
@@ -322,7 +330,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Passages of the texts and of the items are compared in a latent space of the items' terms, weighted by how few documents
     hold them. A candidate counts as a copy if its longest common subsequence covers COPY of the item's words, and as a
     paraphrase from PARAPHRASE on if the answer (an item's last words, if there is no such column) stands there in one
-    piece. key is the MD5 of the text, so that rows can be told by their texts. Items without a word, null items and null
+    piece; so does one that covers as much of a passage, of an item that is longer than one: such an item leaks in part, and
+    lcs is then the passage's share. key is the MD5 of the text, so that rows can be told by their texts. Items without a word, null items and null
     texts give nothing; a repeated row gives its pairs each time; empty tables give an empty table.
     """
     spark = docs.sparkSession

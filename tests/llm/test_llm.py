@@ -373,6 +373,14 @@ def test_a_copy_beside_heavier_parts_is_found(spark):
     assert [(r.doc_id, r.item_id, r.lcs) for r in found.collect()] == [(0, 1, 1.0)]
 
 
+def test_a_part_of_a_long_item_is_found(spark):
+    item, other = [f"i{i}" for i in range(300)], [f"n{i}" for i in range(200)]
+    texts = [other + item[100:200] + other, item, other + item[100:300:5] + other]
+    rows = docs(spark, [*map(" ".join, texts), *(f"other text {i}" for i in range(100))])
+    found = decontaminate.leaks(rows, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.lcs) for r in found.collect()) == [(0, 1, 1.0), (1, 1, 1.0)]
+
+
 def test_latent_terms_span_the_passages(spark):
     rng = np.random.default_rng(5)
     a = np.where(rng.random((12, 40)) < 0.3, rng.random((12, 40)), 0)
