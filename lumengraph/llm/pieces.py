@@ -14,6 +14,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lumengraph.llm.common import utf8, written
 
@@ -275,12 +276,20 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def decode(rows: DataFrame, pieces: DataFrame, keys: list[str], ids_col: str = "ids") -> DataFrame:
-    """(keys, text): the text that each row's ids stand for; keys have to tell rows apart. Null ids give null, none give an
-    empty text, and ids outside the vocabulary are left out. Marks in the original text come back as spaces, as they do in
-    the format itself."""
-    spelled = pieces.select("id", F.when(F.col("bytes"), F.substring("piece", 4, 2)).otherwise(F.hex(F.encode("piece", "UTF-8"))).alias("code"))
-    each = rows.select(*keys, F.posexplode(ids_col).alias("at", "id")).join(F.broadcast(spelled), "id")
-    spelt = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "code"))).alias("codes"))
-    text = F.regexp_replace(F.translate(F.decode(F.unhex(F.array_join(F.col("codes.code"), "")), "UTF-8"), SPACE, " "), "^ ", "")
-    out = rows.select(*keys, ids_col).join(spelt, keys, "left")
-    return out.select(*keys, F.when(F.col(ids_col).isNotNull(), F.coalesce(text, F.lit(""))).alias("text"))
+    """(keys, text): the text that each row's ids stand for, for every row; it is put together within the row, so that keys may
+    be null or repeated. Null ids give null, none give an empty text, and ids outside the vocabulary are left out. Marks in
+    the original text come back as spaces, as they do in the format itself."""
+    codes = {r.id: bytes([int(r.piece[3:5], 16)]) if r.bytes else r.piece.encode() for r in pieces.collect()}
+    sent = rows.sparkSession.sparkContext.broadcast(codes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = sent.value.get
+        for b in batches:
+            texts = []
+            for ids in b.column(b.num_columns - 1):
+                text = b"".join([get(i, b"") for i in ids.as_py()]).decode("utf-8", "replace").replace(SPACE, " ") if ids.is_valid else None
+                texts.append(text[1:] if text and text[0] == " " else text)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "text"])
+
+    own = rows.select(*keys)
+    return rows.select(*keys, F.col(ids_col).alias("_ids")).mapInArrow(run, StructType([*own.schema.fields, StructField("text", StringType())]))

@@ -155,6 +155,20 @@ def test_pieces_match_brute_force_and_round_trip(spark, sample, model):
     assert pieces.encode(rows.limit(0), model).count() == 0
 
 
+def test_decode_keeps_null_and_repeated_ids(spark, model):
+    texts = ["no id", "first 漢字", "second", "second", None, "neither", " lead"]
+    rows = docs(spark, texts, [None, 1, 1, 1, 1, None, 2])
+    back = pieces.decode(pieces.encode(rows, model), model, ["doc_id"]).collect()
+    assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t in zip([None, 1, 1, 1, 1, None, 2], texts, strict=True))
+    odd = spark.createDataFrame([(1, None), (1, []), (None, [10**6])], "doc_id long, ids array<int>")
+    assert sorted(str(r.text) for r in pieces.decode(odd, model, ["doc_id"]).collect()) == ["", "", "None"]
+
+
+def test_op2_gives_the_whole_table_back(spark, sample):
+    got = {r.doc_id: r.text for r in queries.op2_pieces(spark, SF).collect()}
+    assert got == {r.doc_id: (r.text or "").replace(pieces.SPACE, " ") for r in sample.collect()}
+
+
 def test_viterbi_takes_the_greatest_sum(spark):
     table = spark.createDataFrame([("▁", 0, -1.0, False), ("a", 1, -3.0, False), ("b", 2, -3.0, False), ("ab", 3, -5.0, False), ("▁a", 4, -2.0, False), ("ba", 5, -1.5, False)], "piece string, id int, score double, bytes boolean")
     got = {r.doc_id: list(r.ids) for r in pieces.encode(docs(spark, ["ab", "aba", "b"]), table).collect()}
