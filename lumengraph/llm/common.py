@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumengraph.store import delete_written, written
+from lumengraph.store import delete_written, scratch, written
 
-__all__ = ["chunks", "components", "delete_written", "learns", "run_ids", "utf8", "written"]
+__all__ = ["chunks", "components", "delete_written", "learns", "run_ids", "scratch", "trimmed", "utf8", "without_keys", "written"]
+
+#: Keys of 16 bytes that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def learns(doc_id: Column) -> Column:
@@ -67,3 +72,18 @@ def run_ids(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The lengths of the texts in a run, and for each byte the text it belongs to."""
     lengths = np.fromiter(map(len, run), np.int64, len(run))
     return lengths, np.repeat(np.arange(len(run), dtype=np.int32), lengths)
+
+
+def trimmed() -> None:
+    """Hands memory that is free back to the system, since Spark keeps its Python workers from one task to the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library, without it
+        return
+
+
+def without_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is not among keys(key)."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, "key", "left_anti")

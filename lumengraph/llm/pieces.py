@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import ctypes
+import hashlib
 import math
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lumengraph.llm.common import utf8, written
+from lumengraph.llm.common import trimmed, written
 
 SPACE = "▁"
 #: A word is a run of spaces with what follows it; line feeds, tabs and returns, which no piece holds, stand alone.
 WORD = re.compile(f"{SPACE}+[^{SPACE}\n\t\r]*|[^{SPACE}\n\t\r]+|[\n\t\r]+")
-#: Bytes of text whose words are looked up together, and the parts that words are dealt to for each shuffle partition.
-BLOCK_BYTES, PARTS_PER_PARTITION = 4 << 20, 4
+#: Characters of text whose words are looked up together, and the parts that words are dealt to for each shuffle partition.
+BLOCK_CHARS, PARTS_PER_PARTITION = 12 << 20, 4
+#: Words longer than this are cut wherever no piece holds two neighbouring characters, not only beside letters.
+SHORT = 24
+#: Characters of a word that one row of its lattice is made from, and edges of a lattice that are folded with one window.
+CHUNK, WINDOW = 64, 256
 #: Score of a character that is no piece and falls back to its bytes, below the lowest piece's.
 FALLBACK = -10.0
 
@@ -50,32 +55,53 @@ def normalized(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def cuts(pieces: DataFrame) -> re.Pattern:
-    """Finds the places within a word, between a letter and another character, that no piece reaches across: the parts on
-    either side have lattices of their own, and far fewer of them are distinct than words are."""
+@dataclass(frozen=True)
+class Cuts:
+    """Places within a word that no piece reaches across: the parts on either side have lattices of their own, and far fewer of
+    them are distinct than words are. beside finds such places between a letter and another character; pairs are all
+    neighbours within pieces, so that a longer word can be cut between any two others."""
+
+    beside: re.Pattern
+    pairs: frozenset[str]
+
+    def parts(self, word: str) -> list[str]:
+        if word[1:].isalpha() and len(word) <= SHORT:
+            return [word]
+        return [p for x in self.beside.split(word) for p in ([x] if len(x) <= SHORT else self._finely(x))]
+
+    def _finely(self, word: str) -> list[str]:
+        at = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
+        return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def cuts(pieces: DataFrame) -> Cuts:
     texts = [r.piece for r in pieces.where(~F.col("bytes")).select("piece").collect()]
     odd = {c for t in texts for c in t if re.match(r"[^\W\d_]", c) and not c.isalpha()}
     beside = {SPACE} | {b if a.isalpha() else a for t in texts for a, b in zip(t, t[1:], strict=False) if a.isalpha() != b.isalpha()}
     odd, beside = (re.escape("".join(sorted(x))) for x in (odd, beside))
     letter, other = rf"[^\W\d_{odd}]", rf"(?:(?![{beside}])[\W\d_{odd}])"
-    return re.compile(rf"(?<={letter})(?={other})|(?<!{letter})(?<![{beside}])(?={letter})(?!^)")
+    pattern = re.compile(rf"(?<={letter})(?={other})|(?<!{letter})(?<![{beside}])(?={letter})(?!^)")
+    return Cuts(pattern, frozenset(t[i : i + 2] for t in texts for i in range(len(t) - 1)))
 
 
 def lattice(words: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, end, score, id): the edges of each word's lattice, for words(keys, word).
+    """(keys, start, end, score, id, word): the edges of each word's lattice, for words(keys, word); word is null but for an edge
+    from the word's first character, that of the single character.
 
     Substrings of up to the longest piece's length are joined to the pieces. A character that is none has the number of its
-    UTF-8 bytes, below zero, for an id. The table of pieces is broadcast: it is a vocabulary, of a size fixed by its file.
+    UTF-8 bytes, below zero, for an id. Words are read in chunks, so that a long one takes time in proportion to its length.
+    The table of pieces is broadcast: it is a vocabulary, of a size fixed by its file.
     """
     own = pieces.where(~F.col("bytes"))
     longest, lowest = own.agg(F.max(F.length("piece")), F.min("score")).first()
-    length = F.length("word")
-    starts = words.where("word <> ''").select(*keys, "word", F.explode(F.sequence(F.lit(0), length - 1)).alias("start"))
-    cut = starts.select(*keys, "start", "word", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), length - F.col("start")))).alias("n"))
-    cut = cut.select(*keys, "start", "n", F.substring("word", F.col("start") + 1, F.col("n")).alias("piece"))
+    chunks = words.where("word <> ''").select(*keys, "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(CHUNK))).alias("base"))
+    chunks = chunks.select(*keys, F.when(F.col("base") == 0, F.col("word")).alias("word"), "base", F.substring("word", F.col("base") + 1, F.lit(CHUNK + longest - 1)).alias("chunk"))
+    starts = chunks.select(*keys, "word", "base", "chunk", F.explode(F.sequence(F.lit(0), F.least(F.lit(CHUNK), F.length("chunk")) - 1)).alias("at"))
+    cut = starts.select(*keys, "word", "base", "chunk", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("chunk") - F.col("at")))).alias("n"))
+    cut = cut.select(*keys, (F.col("base") + F.col("at")).alias("start"), "n", F.substring("chunk", F.col("at") + 1, F.col("n")).alias("piece"), F.when((F.col("at") == 0) & (F.col("n") == 1), F.col("word")).alias("word"))
     met = cut.join(F.broadcast(own.select("piece", "id", "score")), "piece", "left").where("id is not null or n = 1")
     code = -1 - F.conv(F.hex(F.encode("piece", "UTF-8")), 16, 10).cast("long")
-    return met.select(*keys, "start", (F.col("start") + F.col("n")).alias("end"), F.coalesce("score", F.lit(lowest + FALLBACK)).alias("score"), F.coalesce("id", code).alias("id"))
+    return met.select(*keys, "start", (F.col("start") + F.col("n")).alias("end"), F.coalesce("score", F.lit(lowest + FALLBACK)).alias("score"), F.coalesce("id", code).alias("id"), "word")
 
 
 def spelled_out(ids: Column, zero: int | None) -> Column:
@@ -91,9 +117,19 @@ def spelled_out(ids: Column, zero: int | None) -> Column:
     return F.when(F.exists(ids, lambda x: x < 0), F.flatten(F.transform(ids, one))).otherwise(ids.cast("array<int>"))
 
 
-def viterbi(edges: Column) -> Column:
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value reckoned once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def viterbi(edges: Column, longest: int) -> Column:
     """The ids of the best path over edges (end, start, score, id), sorted: the greatest sum of scores, of equal ones the
-    path with the longest last piece. The state holds the best path to each character."""
+    path with the longest last piece. No edge is longer than longest."""
+    return F.when(F.size(edges) <= WINDOW, _fold(edges)).otherwise(_windowed_fold(edges, longest))
+
+
+def _fold(edges: Column) -> Column:
+    """viterbi for a short word: the state holds the best path to each character."""
     kind = "array<struct<score:double,ids:array<bigint>>>"
     origin = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<bigint>").alias("ids"))).cast(kind)
 
@@ -106,12 +142,61 @@ def viterbi(edges: Column) -> Column:
     return F.element_at(F.aggregate(edges, origin, step), -1)["ids"]
 
 
+def _windowed_fold(edges: Column, longest: int) -> Column:
+    """viterbi for a long word: edges are taken WINDOW at a time. The state holds the best edge to each of the last characters
+    that an edge can start from; those before are put away in lists, from which the path is read at the end."""
+    entry = "struct<score:double,start:int,id:bigint>"
+    origin = F.struct(F.lit(0).alias("low"), F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("start"), F.lit(0).cast("long").alias("id"))).cast(f"array<{entry}>").alias("recent"), F.array().cast(f"array<array<{entry}>>").alias("done"))
+
+    def step(low: Column):
+        def one(recent: Column, e: Column) -> Column:
+            total = F.get(recent, e["start"] - low)["score"] + e["score"]
+            new = F.array(F.struct(total.alias("score"), e["start"].cast("int").alias("start"), e["id"].alias("id")))
+            at = e["end"] - low
+            return F.when(at == F.size(recent), F.concat(recent, new)).when(total > F.get(recent, at)["score"], F.concat(F.slice(recent, F.lit(1), F.size(recent) - 1), new)).otherwise(recent)
+
+        return one
+
+    def part(state: Column, k: Column) -> Column:
+        met = F.aggregate(F.slice(edges, k * WINDOW + 1, F.lit(WINDOW)), state["recent"], step(state["low"]))
+
+        def put_away(recent: Column) -> Column:
+            out = F.greatest(F.lit(0), F.size(recent) - (longest + 1))
+            return F.struct((state["low"] + out).alias("low"), F.slice(recent, out + 1, F.size(recent)).alias("recent"), F.concat(state["done"], F.array(F.slice(recent, F.lit(1), out))).alias("done"))
+
+        return _bound(met, put_away)
+
+    forward = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / WINDOW).cast("int")), origin, part)
+    best = _bound(forward, lambda s: F.flatten(F.concat(s["done"], F.array(s["recent"]))))
+
+    def back(best: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        end = F.struct((F.size(best) - 1).alias("at"), F.array().cast("array<array<bigint>>").alias("ids"))
+
+        def one(state: Column, _: Column) -> Column:
+            here = F.get(best, state["at"])
+            return F.when(state["at"] <= 0, state).otherwise(F.struct(here["start"].alias("at"), F.concat(F.array(here["id"]), state["ids"]).alias("ids")))
+
+        def run(state: Column, _: Column) -> Column:
+            own = F.aggregate(F.sequence(F.lit(1), F.lit(WINDOW)), F.struct(state["at"].alias("at"), none.alias("ids")), one)
+            return _bound(own, lambda x: F.struct(x["at"].alias("at"), F.concat(F.array(x["ids"]), state["ids"]).alias("ids")))
+
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor(F.size(best) / WINDOW).cast("int")), end, run)["ids"])
+
+    return _bound(best, back)
+
+
 def encode_words(words: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """words(keys, word), distinct, with the ids of each word. Empty words are left out."""
-    edges = lattice(words.withColumn("w", F.col("word")), pieces, [*keys, "w"])
-    by = edges.groupBy(*keys, F.col("w").alias("word")).agg(F.sort_array(F.collect_list(F.struct("end", "start", "score", "id"))).alias("edges"))
+    """words(keys, word), distinct, with the ids of each word. Empty words are left out.
+
+    A word is known by a number while its lattice is built and grouped. One of n characters takes time in proportion to n, and
+    the memory of its edges in one row: some 50 bytes for each, of which a character has as many as pieces end there.
+    """
+    longest = pieces.where(~F.col("bytes")).agg(F.max(F.length("piece"))).first()[0]
+    edges = lattice(words.where("word <> ''").withColumn("_w", F.monotonically_increasing_id()), pieces, [*keys, "_w"])
+    by = edges.groupBy(*keys, "_w").agg(F.sort_array(F.collect_list(F.struct("end", "start", "score", "id"))).alias("edges"), F.max("word").alias("word"))
     zero = pieces.where(F.col("piece") == "<0x00>").select("id").first()
-    paths = by.select(*keys, "word", viterbi(F.col("edges")).alias("ids"))
+    paths = by.select(*keys, "word", viterbi(F.col("edges"), longest).alias("ids"))
     return paths.select(*keys, "word", spelled_out(F.col("ids"), zero.id if zero else None).alias("ids"))
 
 
@@ -123,7 +208,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
             ids.append(i.as_py())
             texts.append(t.as_py() or "")
             size += len(texts[-1])
-            if size >= BLOCK_BYTES:
+            if size >= BLOCK_CHARS:
                 yield part << 32 | n, ids, texts
                 n, size, ids, texts = n + 1, 0, [], []
     if ids:
@@ -131,42 +216,42 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
 
 
 def _spans(text: str) -> list[str]:
-    """A text cut at its spaces where each of these begins a word; else the text whole, marked by a space in front."""
-    plain = "  " not in text and SPACE not in text and text[:1] != " " and text[-1:] != " "
-    return text.split(" ") if text and plain else [" " + text] if text else []
+    """The words of a text without the space in front that each has, spaces as marks: those that are normalized(text) if put
+    together with these spaces."""
+    if not text:
+        return []
+    if SPACE in text:
+        return [text.replace(" ", SPACE)]
+    if "  " not in text and text[0] != " ":
+        return text.split(" ")
+    return [x[1:].replace(" ", SPACE) for x in re.findall(" +[^ ]*", " " + text)]
+
 
+#: What may stand behind a word's letters: words that differ in it only are dealt to one part, and share their parts' lattices.
+_BEHIND = ".,;:!?)]}\"'*$&%#"
 
-def _words(span: str, cut: re.Pattern) -> tuple[int, list[str]]:
-    """How many words a span has, and these, or their parts between cuts."""
-    words = WORD.findall(normalized(span[1:] if span[0] == " " else span))
-    if len(words) == 1 and words[0][1:].isalpha():
-        return 1, words
-    return len(words), [x for w in words for x in cut.split(w)]
 
+def _vocabulary(spans: dict[str, int], parts: int) -> dict[int, list[str]]:
+    """The distinct spans by the part they are dealt to, parts and spans sorted."""
+    out: dict[int, list[str]] = {}
+    for w in sorted(spans):
+        out.setdefault(zlib.crc32(w.rstrip(_BEHIND).encode()) % parts, []).append(w)
+    return {p: out[p] for p in sorted(out)}
 
-def _trimmed() -> None:
-    """Hands memory that is free back to the system, since Spark keeps its Python workers."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # another C library, without it
-        return
 
+def _digest(words: dict[int, list[str]]) -> int:
+    h = hashlib.blake2b(digest_size=8)
+    for w in words.values():
+        h.update(_BETWEEN.join(w).encode())
+    return int.from_bytes(h.digest(), "little", signed=True)
 
-def _spelled(texts: list[str], cut: re.Pattern) -> dict[str, tuple[int, list[str]]]:
-    """The distinct spans of texts, each with its number of words and these, or their parts."""
-    spans: set[str] = set()
-    for t in texts:
-        spans.update(_spans(t))
-    return {x: (1, [SPACE + x]) if x.isalpha() else _words(x, cut) for x in spans}
 
+class _Numbers(dict):
+    """Numbers spans in the order in which they come first."""
 
-def _vocabulary(spelled: dict[str, tuple[int, list[str]]], parts: int) -> dict[int, list[str]]:
-    """The distinct words of spans, sorted, by the part they are dealt to."""
-    out: dict[int, list[str]] = {}
-    for w in sorted({w for _, words in spelled.values() for w in words}):
-        out.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts, []).append(w)
-    return out
+    def __missing__(self, span: str) -> int:
+        n = self[span] = len(self)
+        return n
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -176,120 +261,167 @@ def _packed(numbers: np.ndarray) -> bytes:
 
 def _unpacked(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _gathered(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The ids of the words numbered by which, one after another."""
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of values numbered by which, one after another."""
     n = lengths[which]
     shift = np.repeat(starts[which] - np.cumsum(n) + n, n)
-    return ids[shift + np.arange(len(shift))]
+    return values[shift + np.arange(len(shift))]
 
 
-#: Stands between the words of a part; no word holds it.
+#: Stands between the spans of a part; no span holds it.
 _BETWEEN = " "
+_BINARY = pa.binary()
 
 
-def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> DataFrame:
     """(doc_id, n_words, n_pieces, ids) for every row of docs: ids of the best path through each word's lattice, in order.
 
     Only distinct words meet the lattice: a block of texts sends its vocabulary to the words' parts, each part's distinct
-    words are encoded there, the ids go back to the block, and the block's texts are written in ids. A null or empty text
-    has no pieces; repeated rows and null ids are kept; an empty table gives an empty table. Paths through a word take time
-    with the square of its length; a word is all between two spaces or line ends.
+    words are encoded there, the ids go back to the block, and the block's texts, which travel as numbers of words, are
+    written in ids. The rows are read twice for that. stable says that they come in the same partitions and the same order
+    each time, as those of files do; if not, they are written to a table first. A block is known by its vocabulary too, so
+    that a broken promise ends in an error and never in wrong ids.
+
+    A null or empty text has no pieces; repeated rows and null ids are kept, and other columns are not looked at; an empty table
+    gives an empty table. Very long texts make blocks of their own, and very long words take time in proportion to their
+    length (``encode_words``).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows if stable else written(rows, "texts")
     parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = cuts(pieces)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(3)
         for block, _, texts in _blocks(batches):
-            words = _vocabulary(_spelled(texts, cut), parts)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(list(words), pa.int32()), pa.array([_BETWEEN.join(w) for w in words.values()], pa.string())], ["block", "part", "words"])
-
-    sent = written(rows.mapInArrow(send, "block long, part int, words string"), "vocabularies")
-    at_part = sent.repartition(parts, "part")
-    each = at_part.select("part", "block", F.explode(F.split("words", _BETWEEN)).alias("word"))
-    # asking for the block too makes this exchange the same as the one below, which Spark then runs once
-    distinct = each.groupBy("part", "word").agg(F.min("block").alias("first")).where("first is not null").select("part", "word")
-    table = encode_words(distinct, pieces, ["part"])
+            spans: dict[str, None] = {}
+            for t in texts:
+                spans.update(dict.fromkeys(_spans(t)))
+            words = _vocabulary(spans, parts)
+            digest, packed = _digest(words), [squeeze.compress(_BETWEEN.join(w).encode()) for w in words.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array([digest] * len(words), pa.int64()), pa.array(list(words), pa.int32()), pa.array(packed, _BINARY)], ["block", "digest", "part", "spans"])
+        trimmed()
+
+    at_part = written(rows.mapInArrow(send, "block long, digest long, part int, spans binary"), "vocabularies").repartition(parts, "part")
+
+    def unpack(data: bytes) -> list[str]:
+        return zstandard.ZstdDecompressor().decompress(data).decode().split(_BETWEEN)
+
+    def spelled(span: str) -> tuple[int, list[str]]:
+        """How many words a span has, and the parts of these between cuts."""
+        if span.isalpha() and len(span) < SHORT:
+            return 1, [SPACE + span]
+        words = WORD.findall(SPACE + span)
+        return len(words), [p for w in words for p in cut.parts(w)]
+
+    def distinct(asks: pa.Table) -> pa.Table:
+        spans: set[str] = set()
+        for data in asks["spans"].to_pylist():
+            spans.update(unpack(data))
+        words = sorted({w for s in spans for w in spelled(s)[1]})
+        return pa.table({"part": pa.array([asks["part"][0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.string())})
+
+    table = encode_words(at_part.groupBy("part").applyInArrow(distinct, "part int, word string"), pieces, ["part"])
 
     def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
         number = {w: i for i, w in enumerate(known["word"].to_pylist())}
         lists = pa.concat_arrays(known["ids"].chunks) if len(known) else pa.array([], pa.list_(pa.int32()))
         ids, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-        starts, out = np.cumsum(lengths) - lengths, []
-        for words in asks["words"].to_pylist():
-            which = np.fromiter(map(number.__getitem__, words.split(_BETWEEN)), np.int64)
-            out.append((_packed(lengths[which]), _packed(_gathered(ids, starts, lengths, which))))
-        _trimmed()
-        return pa.table({"block": asks["block"], "part": asks["part"], "lengths": pa.array([o[0] for o in out], pa.binary()), "ids": pa.array([o[1] for o in out], pa.binary())})
-
-    back = at_part.groupBy("part").cogroup(table.select(F.col("part").alias("own_part"), "word", "ids").groupBy("own_part")).applyInArrow(answer, "block long, part int, lengths binary, ids binary")
+        starts, of_span, out = np.cumsum(lengths) - lengths, _Numbers(), []
+        runs = [np.fromiter(map(of_span.__getitem__, unpack(data)), np.int64) for data in asks["spans"].to_pylist()]
+        words_in, which = [], []
+        for s in of_span:
+            n, own = spelled(s)
+            words_in.append(n)
+            which.append([number[w] for w in own])
+        parts_in = np.fromiter(map(len, which), np.int64, len(which))
+        which, words_in = np.fromiter((x for own in which for x in own), np.int64), np.array(words_in, np.int64)
+        span_ids = _gathered(ids, starts, lengths, which)
+        ends = np.concatenate([[0], np.cumsum(lengths[which])])[np.concatenate([[0], np.cumsum(parts_in)])]
+        for run in runs:
+            n = np.diff(ends)[run]
+            out.append((_packed(words_in[run]), _packed(n), _packed(_gathered(span_ids, ends[:-1], np.diff(ends), run))))
+        trimmed()
+        return pa.table({"block": asks["block"], "digest": asks["digest"], "part": asks["part"], **{k: pa.array([o[i] for o in out], _BINARY) for i, k in enumerate(("words", "lengths", "ids"))}})
+
+    back = at_part.groupBy("part").cogroup(table.select(F.col("part").alias("own_part"), "word", "ids").groupBy("own_part")).applyInArrow(answer, "block long, digest long, part int, words binary, lengths binary, ids binary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(3)
         for block, ids, texts in _blocks(batches):
-            data = utf8(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, data))], pa.list_(pa.int32())), pa.array([squeeze.compress(b"".join(data))], pa.binary())], ["block", "doc_ids", "sizes", "texts"])
+            number, runs = _Numbers(), [np.zeros(0, np.uint32)]
+            for t in texts:
+                own = _spans(t)
+                runs.append(np.fromiter(map(number.__getitem__, own), np.uint32, len(own)))
+            words = _vocabulary(number, parts)
+            listed = np.empty(len(number), np.uint32)
+            listed[np.fromiter((number[s] for w in words.values() for s in w), np.int64, len(number))] = np.arange(len(number))
+            sizes = np.fromiter(map(len, runs[1:]), np.uint32, len(texts))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_digest(words)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([_packed(sizes)], _BINARY), pa.array([_packed(listed[np.concatenate(runs)])], _BINARY)], ["block", "digest", "doc_ids", "sizes", "spans"])
+        trimmed()
 
     def write(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        open_ = zstandard.ZstdDecompressor()
-        by_part = {p: (n, i) for p, n, i in zip(answers["part"].to_pylist(), answers["lengths"].to_pylist(), answers["ids"].to_pylist(), strict=True)}
-        docs_, n_words, n_ids, rows_ = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for doc_ids, sizes, packed in zip(blocks["doc_ids"].to_pylist(), blocks["sizes"].to_pylist(), blocks["texts"].to_pylist(), strict=True):
-            data, at, texts = open_.decompress(packed), 0, []
-            for n in sizes:
-                texts.append(data[at : at + n].decode("utf-8", "surrogatepass"))
-                at += n
-            spelled = _spelled(texts, cut)
-            number: dict[str, int] = {}
-            lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for part, words in _vocabulary(spelled, parts).items():
-                lengths.append(_unpacked(by_part[part][0]))
-                ids.append(_unpacked(by_part[part][1]))
-                if len(lengths[-1]) != len(words):
-                    raise RuntimeError("the input's partitions changed between two reads; write it to a table first")
-                number.update(zip(words, range(len(number), len(number) + len(words)), strict=True))
-            # the ids of each distinct span, then those of each text as a run of spans
-            lengths = np.concatenate(lengths)
-            which = np.fromiter((number[w] for _, words in spelled.values() for w in words), np.int64)
-            words_in, parts_in = (np.fromiter(x, np.int64, len(spelled)) for x in ((n for n, _ in spelled.values()), (len(w) for _, w in spelled.values())))
-            span_ids = _gathered(np.concatenate(ids).astype(np.int32), np.cumsum(lengths) - lengths, lengths, which)
-            ends = np.concatenate([[0], np.cumsum(lengths[which])])[np.concatenate([[0], np.cumsum(parts_in)])]
-            span_starts, span_lengths = ends[:-1], np.diff(ends)
-            order = dict(zip(spelled, range(len(spelled)), strict=True))
-            for doc, t in zip(doc_ids, texts, strict=True):
-                run = np.fromiter(map(order.__getitem__, _spans(t)), np.int64)
+        answers = answers.sort_by("part")
+        none = np.zeros(0, np.uint32)
+        words_in, lengths, ids = (np.concatenate([none, *map(_unpacked, answers[k].to_pylist())]) for k in ("words", "lengths", "ids"))
+        lengths = lengths.astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        docs_, n_words, n_ids, values = [], [], [], []
+        for doc_ids, sizes, run in zip(blocks["doc_ids"].to_pylist(), map(_unpacked, blocks["sizes"].to_pylist()), map(_unpacked, blocks["spans"].to_pylist()), strict=True):
+            if len(run) and run.max() >= len(lengths):
+                raise RuntimeError("the rows came in another order when they were read again: call encode with stable=False")
+            ends = np.cumsum(sizes.astype(np.int64))
+            at = 0
+            for doc, end in zip(doc_ids, ends.tolist(), strict=True):
+                own = run[at:end]
                 docs_.append(doc)
-                rows_.append(_gathered(span_ids, span_starts, span_lengths, run) if len(run) else rows_[0])
-                n_words.append(words_in[run].sum(keepdims=True))
-                n_ids.append(np.array([len(rows_[-1])]))
-        n_ids = np.concatenate(n_ids)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_ids)]), pa.int32()), pa.array(np.concatenate(rows_), pa.int32()))
-        _trimmed()
-        return pa.table({"doc_id": pa.array(docs_, pa.int64()), "n_words": pa.array(np.concatenate(n_words), pa.int64()), "n_pieces": pa.array(n_ids, pa.int64()), "ids": lists})
+                n_words.append(int(words_in[own].sum()))
+                values.append(_gathered(ids, starts, lengths, own).astype(np.int32))
+                n_ids.append(len(values[-1]))
+                at = end
+        offsets = np.concatenate([[0], np.cumsum(np.array(n_ids, np.int64))])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([none.astype(np.int32), *values]), pa.int32()))
+        trimmed()
+        return pa.table({"doc_id": pa.array(docs_, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_pieces": pa.array(n_ids, pa.int64()), "ids": lists})
+
+    packed = rows.mapInArrow(pack, "block long, digest long, doc_ids array<long>, sizes binary, spans binary")
+    keys = ["block", "digest"]
+    return packed.groupBy(*keys).cogroup(back.groupBy(*keys)).applyInArrow(write, "doc_id long, n_words long, n_pieces long, ids array<int>")
+
 
-    packed = rows.mapInArrow(pack, "block long, doc_ids array<long>, sizes array<int>, texts binary")
-    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(write, "doc_id long, n_words long, n_pieces long, ids array<int>")
+#: Ids that are decoded at once.
+_DECODED = 1 << 18
 
 
 def decode(rows: DataFrame, pieces: DataFrame, keys: list[str], ids_col: str = "ids") -> DataFrame:
     """(keys, text): the text that each row's ids stand for, for every row; it is put together within the row, so that keys may
-    be null or repeated. Null ids give null, none give an empty text, and ids outside the vocabulary are left out. Marks in
-    the original text come back as spaces, as they do in the format itself."""
-    codes = {r.id: bytes([int(r.piece[3:5], 16)]) if r.bytes else r.piece.encode() for r in pieces.collect()}
-    sent = rows.sparkSession.sparkContext.broadcast(codes)
+    be null or repeated. Null ids give null, none give an empty text, and ids outside the vocabulary are left out, as are null
+    ones in a list. Marks in the original text come back as spaces, as they do in the format itself."""
+    codes = {r.id: bytes([int(r.piece[3:5], 16)]) if r.bytes else r.piece.replace(SPACE, " ").encode() for r in pieces.collect()}
+    size = max(codes, default=-1) + 2  # the last one stands for all others
+    own = [codes.get(i, b"") for i in range(size)]
+    sent = rows.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(own), np.uint8), np.fromiter(map(len, own), np.int64, size)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = sent.value.get
+        letters, lengths = sent.value
+        starts = np.cumsum(lengths) - lengths
         for b in batches:
+            lists = b.column(b.num_columns - 1)
+            offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.fill_null(-1).to_numpy()
+            flat = np.where((flat < 0) | (flat >= size), size - 1, flat)
+            sizes, data = lengths[flat], []
+            for i in range(0, len(flat), _DECODED):
+                data.append(_gathered(letters, starts, lengths, flat[i : i + _DECODED]).tobytes())
+            data, ends = b"".join(data), np.concatenate([[0], np.cumsum(sizes)])
             texts = []
-            for ids in b.column(b.num_columns - 1):
-                text = b"".join([get(i, b"") for i in ids.as_py()]).decode("utf-8", "replace").replace(SPACE, " ") if ids.is_valid else None
+            for a, z, there in zip(ends[offsets[:-1]].tolist(), ends[offsets[1:]].tolist(), lists.is_valid().to_pylist(), strict=True):
+                text = data[a:z].decode("utf-8", "replace") if there else None
                 texts.append(text[1:] if text and text[0] == " " else text)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "text"])
+        trimmed()
 
-    own = rows.select(*keys)
-    return rows.select(*keys, F.col(ids_col).alias("_ids")).mapInArrow(run, StructType([*own.schema.fields, StructField("text", StringType())]))
+    own_keys = rows.select(*keys)
+    return rows.select(*keys, F.col(ids_col).cast("array<int>").alias("_ids")).mapInArrow(run, StructType([*own_keys.schema.fields, StructField("text", StringType())]))
