@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumengraph.llm.common import written
+from lumengraph.llm.common import trimmed, without_keys, written
 
 #: Words of a passage of a text, and the words from one passage to the next. Longer items are cut into passages of as many.
 PASSAGE, STRIDE = 48, 16
@@ -34,8 +34,6 @@ COSINE, WEIGHT, COPY, PARAPHRASE = 0.45, 0.2, 0.8, 0.5
 ANSWER_WORDS = 6
 #: Items that are searched for at once; bounds what is broadcast. More items take more rounds over the encoded documents.
 BLOCK_ITEMS = 20_000
-#: Leaking texts are broadcast up to so many keys of 16 bytes; beyond that they are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 _words = re.compile(r"\w+").findall
 
@@ -348,8 +346,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_leaks(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text holds no item, by the keys of ``leaks``."""
-    keys = written(found.select("key").distinct(), "leaking")
-    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("key"))
-    return kept.join(F.broadcast(keys) if few else keys, "key", "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    """The rows of docs, all columns as they are, whose text holds no item, by the keys of ``leaks``, which are reckoned here."""
+    keys = written(found.select("key").distinct(), "leaking", stays=True)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("key"))
+    return without_keys(rows, keys).select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -13,12 +13,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumengraph.llm.common import chunks, learns, run_ids, utf8
+from lumengraph.llm.common import chunks, learns, run_ids, trimmed, utf8
 
 #: Longest context in bytes. A text is read as if this many line feeds stood before it.
 ORDER = 3
 #: Most training texts of each language; which ones is settled by a hash of the text. Bounds the model's size.
 SAMPLE_PER_LANGUAGE = 400
+#: Parts that a language's texts are ranked in before the best of them are ranked as one.
+RANKED_PARTS = 16
 
 
 @dataclass
@@ -113,26 +115,29 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Only rows with a text, a language, and an id whose crc32 modulo 4 is not 2 are looked at.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.coalesce(F.length(text_col) > 0, F.lit(False)) & F.coalesce(learns(F.col(id_col)), F.lit(False))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    keys = rows.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("nth", nth).where(F.col("nth") <= most).select("lang", "h")
+    keys = rows.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("part", F.pmod("h", F.lit(RANKED_PARTS)))
+    for per in (["lang", "part"], ["lang"]):  # first within parts of a language, so that a common one is not ranked in one task
+        keys = keys.withColumn("nth", F.row_number().over(Window.partitionBy(*per).orderBy("h"))).where(F.col("nth") <= most)
+    keys = keys.select("lang", "h")
     picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(keys), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
     got = [(r.lang, r.text) for r in picked.collect()]
     return fold(train_counts(sorted(got))) if got else None
 
 
-def tagged(docs: DataFrame, model: Contexts | None, text_col: str = "text") -> DataFrame:
-    """docs with two more columns, lang_pred and score (columns of these names are replaced), for every row.
+def tagged(docs: DataFrame, model: Contexts | None, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """docs with two more columns, lang_pred and score (or as lang_name and score_name say; columns of these names are
+    replaced), for every row.
 
     lang_pred is the language whose trees code the whole text in the fewest bits, the first in the alphabet where several
     do; ``und`` where the text is null or has no letter (score 0), or where there is no model. score is that language's
     share of the likelihoods, tempered to the text's bits a byte: 1 means that no other language comes near. Repeated rows,
     nulls and further columns stay as they are; an empty table gives an empty table.
     """
-    kept = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [f"`{c}`" for c in docs.columns if c not in (lang_name, score_name)]
     if model is None:
-        return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*kept, F.lit("und").alias(lang_name), F.lit(0.0).alias(score_name))
     rows = docs.select(*kept, F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*kept).schema.add(lang_name, "string").add(score_name, "double")
     sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(cloudpickle.dumps(model), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +154,7 @@ def tagged(docs: DataFrame, model: Contexts | None, text_col: str = "text") -> D
                 score[start : start + len(part)] = 1 / np.exp2(-gap).sum(1)
             out = [*b.columns[:-2], pa.array(names[np.where(letters, best, len(m.languages))], pa.string()), pa.array(np.where(letters, score, 0.0))]
             yield pa.RecordBatch.from_arrays(out, [f.name for f in schema])
+        trimmed()
 
     return rows.mapInArrow(run, schema)
 

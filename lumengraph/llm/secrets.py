@@ -167,12 +167,12 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
     return F.when(F.regexp_like(text, F.lit(rule.pattern if rule.kind != "hex" else f"[0-9a-f]{{{rule.least}}}")), F.aggregate(parts, zero, step)["out"]).otherwise(none)
 
 
-def find(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text_col: str = "text") -> DataFrame:
-    """docs with one more column ``secrets``: the spans (start, number, end, kind) of every rule's matches in the whole text,
+def find(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
+    """docs with one more column ``secrets`` (or as out_col says): the spans (start, number, end, kind) of every rule's matches in the whole text,
     by start, then in the order of the rules; empty for a null or empty text and for one without any.
 
-    Rows and columns of docs stay as they are, whatever their names, nulls and repetitions; a column named secrets is
-    replaced. Equal texts share their postings. An empty table gives an empty table.
+    Rows and columns of docs stay as they are, whatever their names, nulls and repetitions; a column of that name is
+    replaced. Equal texts share their postings. Texts are scanned whole, however long. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -183,8 +183,8 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text_col: str =
     joined = keyed.join(F.broadcast(found) if few else found, "key", "left")
     none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")
     spans = [spans_of(F.col("text"), r, i) if i in scanned else F.when(F.coalesce(F.array_contains("rules", i), F.lit(False)), spans_of(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
-    out = joined.select("row", F.sort_array(F.concat(*spans)).alias("secrets"))
-    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "secrets"), "secrets")
+    out = joined.select("row", F.sort_array(F.concat(*spans)).alias("_spans"))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != out_col), F.col("_spans").alias(out_col))
 
 
 def redacted(text: Column, secrets: Column, mask: str = "[SECRET]") -> Column:

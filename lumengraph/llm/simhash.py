@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumengraph.llm.common import components, utf8, written
+from lumengraph.llm.common import components, scratch, trimmed, utf8, without_keys, written
 
 #: Segments of a fingerprint, and the errors looked for in each: two differing bits leave one half with one at most.
 SEGMENT_BITS, MOST_BITS = 32, 2
@@ -38,13 +38,19 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; a null text counts as empty, an empty one has fingerprint zero."""
+    """(doc_id, key, fp) for every row; a null text counts as empty, an empty one has fingerprint zero. key is an MD5 of id and text,
+    so that rows of one id can be told apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": [fingerprint(t, width) for t in utf8(b["text"])]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": b["key"], "fp": [fingerprint(t, width) for t in utf8(b["text"])]})
+        trimmed()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(docs, id_col, text_col).alias("key"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, key binary, fp long")
+
+
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(docs[id_col].cast("string"), F.lit("-")), F.coalesce(docs[text_col], F.lit("")))))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -73,31 +79,46 @@ def links(prints: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _rooted(first: DataFrame) -> DataFrame:
+    """first(fp, ...), one row a fingerprint, with the component (root) that links of at most two bits put it in."""
+    reach = components(written(links(first), "links"), "fp-components")
+    return first.join(reach, first.fp == reach.node, "left").select(first["*"], F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs: fingerprint as 16 hex digits, component_id the smallest id
     that links of at most two bits reach.
 
     Rows with equal fingerprints are linked, so empty, null and repeated texts come together; a repeated doc_id gives a row
-    each time; a null doc_id keeps its row and is never chosen as the smallest unless a component has no other id. An empty
-    table gives an empty table. Other columns of docs are not looked at.
+    each time; a null doc_id keeps its row and is never chosen as the smallest unless a component has no other id. Texts are
+    read whole, however long. An empty table gives an empty table. Other columns of docs are not looked at.
     """
-    prints = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    first = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "first")
-    pairs = written(links(first), "links")
-    reach = components(pairs, "fp-components")
-    rooted = first.join(reach, first.fp == reach.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    prints = written(fingerprints(docs, width, id_col, text_col).select("doc_id", "fp"), "fingerprints")
+    rooted = _rooted(written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "first"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_print = written(rooted.join(lowest, "root").select("fp", "component_id"), "of-print")
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, that stay when one document of each group of near duplicates is kept: that
-    with the smallest id, once. Rows without an id stay."""
-    near = written(near_duplicates(docs, width, id_col, text_col), "near-duplicates")
-    first = near.where("doc_id = component_id").select(F.col("doc_id").alias("_first"))
-    with_id = docs.where(F.col(id_col).isNotNull())
-    kept = with_id.join(first, with_id[id_col] == first["_first"], "left_semi")
-    if first.groupBy("_first").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs, all columns as they are, that stay when one row of each group of near duplicates is kept: that with the
+    smallest id, and of several texts with that id any one, always the same. Rows without an id come after all others.
+
+    Of rows that agree in id and text, whatever their other columns hold, one is kept. Null and empty texts are near
+    duplicates of each other; an empty table gives an empty table. Only the keys of rows that go, or that stay once out of
+    several, meet the texts: they are broadcast up to a bound, so that texts are not shuffled.
+    """
+    with scratch(docs.sparkSession):
+        prints = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
+        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+        rooted = _rooted(written(prints.groupBy("fp").agg(F.min(order).alias("lead")), "first"))
+        leads = rooted.groupBy("root").agg(F.min("lead").alias("lead")).select("lead.key", F.lit(True).alias("leads"))
+        by_key = prints.groupBy("key").agg(F.count("*").alias("n")).join(leads, "key", "left")
+        decided = written(by_key.where("leads is null or n > 1").select("key", F.col("leads").isNotNull().alias("once")), "near-duplicates", stays=True)
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), row_key(docs, id_col, text_col).alias("key"))
+    kept = without_keys(rows, decided.select("key"))
+    once = decided.where("once").select("key")
+    if once.limit(1).count():
+        again = rows.join(once, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+        kept = kept.select("key", "row").unionByName(again.select("key", "row"))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
