@@ -216,26 +216,47 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
 
 
 def _spans(text: str) -> list[str]:
-    """The words of a text without the space in front that each has, spaces as marks: those that are normalized(text) if put
-    together with these spaces."""
+    """The words of a text, spaces as marks, without the space in front that each has but for those that begin with a line feed:
+    ``_word`` of them, put together, is normalized(text)."""
+    if SPACE in text:
+        text = text.replace(SPACE, " ")
     if not text:
         return []
-    if SPACE in text:
-        return [text.replace(" ", SPACE)]
-    if "  " not in text and text[0] != " ":
-        return text.split(" ")
-    return [x[1:].replace(" ", SPACE) for x in re.findall(" +[^ ]*", " " + text)]
+    if "\n" not in text:
+        return _line(text) if text[0] != " " else _line(" " + text)[1:]
+    out, feeds = [], ""
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        if line or k in (0, len(lines) - 1):
+            own = _line(line) if k or line[:1] != " " else _line(" " + line)[1:]
+            own[0] = feeds + own[0]
+            out += own
+            feeds = ""
+        feeds += "\n"
+    return out
+
+
+def _line(line: str) -> list[str]:
+    """A line cut at the spaces that begin a word: of several spaces at the first, and the others are marks of the word."""
+    if "  " not in line:
+        return line.split(" ")
+    head = line[: line.index(" ")]
+    return [head, *(x[1:].replace(" ", SPACE) for x in re.findall(" +[^ ]*", line[len(head) :]))]
+
+
+def _word(span: str) -> str:
+    return span if span[:1] == "\n" else SPACE + span
 
 
-#: What may stand behind a word's letters: words that differ in it only are dealt to one part, and share their parts' lattices.
-_BEHIND = ".,;:!?)]}\"'*$&%#"
+_letters = re.compile(r"\n*([^\W\d_]*)").match
 
 
 def _vocabulary(spans: dict[str, int], parts: int) -> dict[int, list[str]]:
-    """The distinct spans by the part they are dealt to, parts and spans sorted."""
+    """The distinct spans by the part they are dealt to, parts and spans sorted. The letters that a span begins with decide, so
+    that words that differ in punctuation behind them share their parts' lattices."""
     out: dict[int, list[str]] = {}
     for w in sorted(spans):
-        out.setdefault(zlib.crc32(w.rstrip(_BEHIND).encode()) % parts, []).append(w)
+        out.setdefault(zlib.crc32((_letters(w)[1] or w).encode()) % parts, []).append(w)
     return {p: out[p] for p in sorted(out)}
 
 
@@ -315,7 +336,7 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
         """How many words a span has, and the parts of these between cuts."""
         if span.isalpha() and len(span) < SHORT:
             return 1, [SPACE + span]
-        words = WORD.findall(SPACE + span)
+        words = WORD.findall(_word(span))
         return len(words), [p for w in words for p in cut.parts(w)]
 
     def distinct(asks: pa.Table) -> pa.Table:
@@ -325,7 +346,9 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
         words = sorted({w for s in spans for w in spelled(s)[1]})
         return pa.table({"part": pa.array([asks["part"][0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.string())})
 
-    table = encode_words(at_part.groupBy("part").applyInArrow(distinct, "part int, word string"), pieces, ["part"])
+    # dealt once more, since Spark can't know that a function on groups leaves rows where they are; the lattices then stay there
+    words = at_part.groupBy("part").applyInArrow(distinct, "part int, word string").repartition(parts, "part")
+    table = encode_words(words, pieces, ["part"])
 
     def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
         number = {w: i for i, w in enumerate(known["word"].to_pylist())}
