@@ -6,7 +6,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ SPACE = "▁"
 #: A word is a run of spaces with what follows it; line feeds, tabs and returns, which no piece holds, stand alone.
 WORD = re.compile(f"{SPACE}+[^{SPACE}\n\t\r]*|[^{SPACE}\n\t\r]+|[\n\t\r]+")
 #: Characters of text whose words are looked up together, and the parts that words are dealt to for each shuffle partition.
-BLOCK_CHARS, PARTS_PER_PARTITION = 12 << 20, 4
+BLOCK_CHARS, PARTS_PER_PARTITION = 8 << 20, 4
 #: Words longer than this are cut wherever no piece holds two neighbouring characters, not only beside letters.
 SHORT = 24
 #: Characters of a word that one row of its lattice is made from, and edges of a lattice that are folded with one window.
@@ -59,14 +59,17 @@ def normalized(text: str) -> str:
 class Cuts:
     """Places within a word that no piece reaches across: the parts on either side have lattices of their own, and far fewer of
     them are distinct than words are. beside finds such places between a letter and another character; pairs are all
-    neighbours within pieces, so that a longer word can be cut between any two others."""
+    neighbours within pieces, so that a longer word can be cut between any two others; stops are marks that no piece holds
+    beside a letter."""
 
     beside: re.Pattern
     pairs: frozenset[str]
+    stops: str
 
     def parts(self, word: str) -> list[str]:
-        if word[1:].isalpha() and len(word) <= SHORT:
-            return [word]
+        bare = word.rstrip(self.stops)  # most words are letters with a stop behind
+        if len(word) <= SHORT and bare[1:].isalpha() and bare[-1].isalpha():
+            return [bare, word[len(bare) :]] if len(bare) < len(word) else [word]
         return [p for x in self.beside.split(word) for p in ([x] if len(x) <= SHORT else self._finely(x))]
 
     def _finely(self, word: str) -> list[str]:
@@ -81,7 +84,8 @@ def cuts(pieces: DataFrame) -> Cuts:
     odd, beside = (re.escape("".join(sorted(x))) for x in (odd, beside))
     letter, other = rf"[^\W\d_{odd}]", rf"(?:(?![{beside}])[\W\d_{odd}])"
     pattern = re.compile(rf"(?<={letter})(?={other})|(?<!{letter})(?<![{beside}])(?={letter})(?!^)")
-    return Cuts(pattern, frozenset(t[i : i + 2] for t in texts for i in range(len(t) - 1)))
+    stops = "".join(c for c in ".,;:!?" if not re.match(f"[{beside}]", c))
+    return Cuts(pattern, frozenset(t[i : i + 2] for t in texts for i in range(len(t) - 1)), stops)
 
 
 def lattice(words: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,8 +140,8 @@ def _fold(edges: Column) -> Column:
     def step(state: Column, e: Column) -> Column:
         before = F.get(state, e["start"])
         total = before["score"] + e["score"]
-        path = F.array(F.struct(total.alias("score"), F.concat(before["ids"], F.array(e["id"])).alias("ids")))
-        return F.when(e["end"] == F.size(state), F.concat(state, path)).when(total > F.get(state, e["end"])["score"], F.concat(F.slice(state, F.lit(1), F.size(state) - 1), path)).otherwise(state)
+        path = F.struct(total.alias("score"), F.array_append(before["ids"], e["id"]).alias("ids"))
+        return F.when(e["end"] == F.size(state), F.array_append(state, path)).when(total > F.get(state, e["end"])["score"], F.array_append(F.slice(state, F.lit(1), e["end"]), path)).otherwise(state)
 
     return F.element_at(F.aggregate(edges, origin, step), -1)["ids"]
 
@@ -151,9 +155,9 @@ def _windowed_fold(edges: Column, longest: int) -> Column:
     def step(low: Column):
         def one(recent: Column, e: Column) -> Column:
             total = F.get(recent, e["start"] - low)["score"] + e["score"]
-            new = F.array(F.struct(total.alias("score"), e["start"].cast("int").alias("start"), e["id"].alias("id")))
+            new = F.struct(total.alias("score"), e["start"].cast("int").alias("start"), e["id"].alias("id"))
             at = e["end"] - low
-            return F.when(at == F.size(recent), F.concat(recent, new)).when(total > F.get(recent, at)["score"], F.concat(F.slice(recent, F.lit(1), F.size(recent) - 1), new)).otherwise(recent)
+            return F.when(at == F.size(recent), F.array_append(recent, new)).when(total > F.get(recent, at)["score"], F.array_append(F.slice(recent, F.lit(1), at), new)).otherwise(recent)
 
         return one
 
@@ -196,8 +200,7 @@ def encode_words(words: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFr
     edges = lattice(words.where("word <> ''").withColumn("_w", F.monotonically_increasing_id()), pieces, [*keys, "_w"])
     by = edges.groupBy(*keys, "_w").agg(F.sort_array(F.collect_list(F.struct("end", "start", "score", "id"))).alias("edges"), F.max("word").alias("word"))
     zero = pieces.where(F.col("piece") == "<0x00>").select("id").first()
-    paths = by.select(*keys, "word", viterbi(F.col("edges"), longest).alias("ids"))
-    return paths.select(*keys, "word", spelled_out(F.col("ids"), zero.id if zero else None).alias("ids"))
+    return by.select(*keys, "word", _bound(viterbi(F.col("edges"), longest), lambda ids: spelled_out(ids, zero.id if zero else None)).alias("ids"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
@@ -248,15 +251,12 @@ def _word(span: str) -> str:
     return span if span[:1] == "\n" else SPACE + span
 
 
-_letters = re.compile(r"\n*([^\W\d_]*)").match
-
-
-def _vocabulary(spans: dict[str, int], parts: int) -> dict[int, list[str]]:
-    """The distinct spans by the part they are dealt to, parts and spans sorted. The letters that a span begins with decide, so
-    that words that differ in punctuation behind them share their parts' lattices."""
+def _vocabulary(spans: Iterable[str], parts: int) -> dict[int, list[str]]:
+    """The distinct spans by the part they are dealt to, parts and spans sorted. The first characters decide, so that words that
+    differ in what stands behind them share their parts' lattices."""
     out: dict[int, list[str]] = {}
     for w in sorted(spans):
-        out.setdefault(zlib.crc32((_letters(w)[1] or w).encode()) % parts, []).append(w)
+        out.setdefault(zlib.crc32(w[:6].encode()) % parts, []).append(w)
     return {p: out[p] for p in sorted(out)}
 
 
@@ -267,12 +267,11 @@ def _digest(words: dict[int, list[str]]) -> int:
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
-class _Numbers(dict):
-    """Numbers spans in the order in which they come first."""
-
-    def __missing__(self, span: str) -> int:
-        n = self[span] = len(self)
-        return n
+def _numbered(number: dict[str, int], spans: list[str]) -> np.ndarray:
+    """The numbers of spans; new ones get the next."""
+    for s in set(spans).difference(number):
+        number[s] = len(number)
+    return np.fromiter(map(number.__getitem__, spans), np.uint32, len(spans))
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -319,9 +318,9 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(3)
         for block, _, texts in _blocks(batches):
-            spans: dict[str, None] = {}
+            spans: set[str] = set()
             for t in texts:
-                spans.update(dict.fromkeys(_spans(t)))
+                spans.update(_spans(t))
             words = _vocabulary(spans, parts)
             digest, packed = _digest(words), [squeeze.compress(_BETWEEN.join(w).encode()) for w in words.values()]
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array([digest] * len(words), pa.int64()), pa.array(list(words), pa.int32()), pa.array(packed, _BINARY)], ["block", "digest", "part", "spans"])
@@ -354,8 +353,9 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
         number = {w: i for i, w in enumerate(known["word"].to_pylist())}
         lists = pa.concat_arrays(known["ids"].chunks) if len(known) else pa.array([], pa.list_(pa.int32()))
         ids, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-        starts, of_span, out = np.cumsum(lengths) - lengths, _Numbers(), []
-        runs = [np.fromiter(map(of_span.__getitem__, unpack(data)), np.int64) for data in asks["spans"].to_pylist()]
+        of_span: dict[str, int] = {}
+        starts, out = np.cumsum(lengths) - lengths, []
+        runs = [_numbered(of_span, unpack(data)) for data in asks["spans"].to_pylist()]
         words_in, which = [], []
         for s in of_span:
             n, own = spelled(s)
@@ -375,10 +375,8 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in _blocks(batches):
-            number, runs = _Numbers(), [np.zeros(0, np.uint32)]
-            for t in texts:
-                own = _spans(t)
-                runs.append(np.fromiter(map(number.__getitem__, own), np.uint32, len(own)))
+            number: dict[str, int] = {}
+            runs = [np.zeros(0, np.uint32), *(_numbered(number, _spans(t)) for t in texts)]
             words = _vocabulary(number, parts)
             listed = np.empty(len(number), np.uint32)
             listed[np.fromiter((number[s] for w in words.values() for s in w), np.int64, len(number))] = np.arange(len(number))
@@ -431,19 +429,23 @@ def decode(rows: DataFrame, pieces: DataFrame, keys: list[str], ids_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, lengths = sent.value
         starts = np.cumsum(lengths) - lengths
-        for b in batches:
-            lists = b.column(b.num_columns - 1)
-            offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.fill_null(-1).to_numpy()
-            flat = np.where((flat < 0) | (flat >= size), size - 1, flat)
-            sizes, data = lengths[flat], []
-            for i in range(0, len(flat), _DECODED):
-                data.append(_gathered(letters, starts, lengths, flat[i : i + _DECODED]).tobytes())
-            data, ends = b"".join(data), np.concatenate([[0], np.cumsum(sizes)])
-            texts = []
-            for a, z, there in zip(ends[offsets[:-1]].tolist(), ends[offsets[1:]].tolist(), lists.is_valid().to_pylist(), strict=True):
-                text = data[a:z].decode("utf-8", "replace") if there else None
-                texts.append(text[1:] if text and text[0] == " " else text)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "text"])
+        for whole in batches:
+            ends = whole.column(whole.num_columns - 1).offsets.to_numpy().astype(np.int64)
+            at = 0
+            while at < whole.num_rows:  # rows of about so many ids at once
+                past = max(at + 1, int(np.searchsorted(ends, ends[at] + _DECODED, "right")) - 1)
+                b = whole.slice(at, past - at)
+                lists = b.column(b.num_columns - 1)
+                flat = lists.values.slice(ends[at], ends[past] - ends[at]).fill_null(-1).to_numpy(zero_copy_only=False)
+                flat = np.where((flat < 0) | (flat >= size), size - 1, flat)
+                data = b"".join(_gathered(letters, starts, lengths, flat[i : i + _DECODED]).tobytes() for i in range(0, len(flat), _DECODED))
+                bounds = np.concatenate([[0], np.cumsum(lengths[flat])])[ends[at : past + 1] - ends[at]]
+                texts = []
+                for a, z, there in zip(bounds[:-1].tolist(), bounds[1:].tolist(), lists.is_valid().to_pylist(), strict=True):
+                    text = data[a:z].decode("utf-8", "replace") if there else None
+                    texts.append(text[1:] if text and text[0] == " " else text)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "text"])
+                at = past
         trimmed()
 
     own_keys = rows.select(*keys)
