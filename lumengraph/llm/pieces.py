@@ -291,13 +291,45 @@ def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which
     return values[shift + np.arange(len(shift))]
 
 
+#: Ids that are decoded at once.
+_DECODED = 1 << 18
+
+
+def _spellings(pieces: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids' pieces, one after another, and their lengths; the last one, without any, stands for unknown ids."""
+    codes = {r.id: bytes([int(r.piece[3:5], 16)]) if r.bytes else r.piece.replace(SPACE, " ").encode() for r in pieces.collect()}
+    own = [codes.get(i, b"") for i in range(max(codes, default=-1) + 2)]
+    return np.frombuffer(b"".join(own), np.uint8), np.fromiter(map(len, own), np.int64, len(own))
+
+
+def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of lists, given where each begins and the last one ends, that hold about _DECODED ids; a longer list is one."""
+    at, offsets = 0, offsets.astype(np.int64)
+    while at < len(offsets) - 1:
+        past = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _DECODED, "right")) - 1)
+        yield at, past
+        at = past
+
+
+def _texts(ids: np.ndarray, offsets: np.ndarray, letters: np.ndarray, lengths: np.ndarray) -> list[str]:
+    """The texts of lists of ids."""
+    other = len(lengths) - 1
+    ids = np.where((ids < 0) | (ids >= other), other, ids)
+    starts = np.cumsum(lengths) - lengths
+    data = b"".join(_gathered(letters, starts, lengths, ids[i : i + _DECODED]).tobytes() for i in range(0, len(ids), _DECODED))
+    ends = np.concatenate([[0], np.cumsum(lengths[ids])])[offsets].tolist()
+    texts = (data[a:z].decode("utf-8", "replace") for a, z in zip(ends, ends[1:], strict=False))
+    return [t[1:] if t[:1] == " " else t for t in texts]
+
+
 #: Stands between the spans of a part; no span holds it.
 _BETWEEN = " "
 _BINARY = pa.binary()
 
 
-def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_pieces, ids) for every row of docs: ids of the best path through each word's lattice, in order.
+def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", stable: bool = False, decoded: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_pieces, ids) for every row of docs: ids of the best path through each word's lattice, in order. If
+    decoded, text is one more column: what the ids stand for, as ``decode`` has it.
 
     Only distinct words meet the lattice: a block of texts sends its vocabulary to the words' parts, each part's distinct
     words are encoded there, the ids go back to the block, and the block's texts, which travel as numbers of words, are
@@ -314,6 +346,7 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows if stable else written(rows, "texts")
     parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = cuts(pieces)
+    spellings = _spellings(pieces) if decoded else ()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(3)
@@ -404,48 +437,37 @@ def encode(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col:
                 n_ids.append(len(values[-1]))
                 at = end
         offsets = np.concatenate([[0], np.cumsum(np.array(n_ids, np.int64))])
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([none.astype(np.int32), *values]), pa.int32()))
+        values = np.concatenate([none.astype(np.int32), *values])
+        out = {"doc_id": pa.array(docs_, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_pieces": pa.array(n_ids, pa.int64())}
+        out["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+        if decoded:
+            runs = ((offsets[lo : hi + 1] - offsets[lo], values[offsets[lo] : offsets[hi]]) for lo, hi in _slices(offsets))
+            out["text"] = pa.chunked_array([pa.array(_texts(ids, at, *spellings), pa.string()) for at, ids in runs], pa.string())
+        del values
         trimmed()
-        return pa.table({"doc_id": pa.array(docs_, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_pieces": pa.array(n_ids, pa.int64()), "ids": lists})
+        return pa.table(out)
 
     packed = rows.mapInArrow(pack, "block long, digest long, doc_ids array<long>, sizes binary, spans binary")
     keys = ["block", "digest"]
-    return packed.groupBy(*keys).cogroup(back.groupBy(*keys)).applyInArrow(write, "doc_id long, n_words long, n_pieces long, ids array<int>")
-
-
-#: Ids that are decoded at once.
-_DECODED = 1 << 18
+    return packed.groupBy(*keys).cogroup(back.groupBy(*keys)).applyInArrow(write, "doc_id long, n_words long, n_pieces long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(rows: DataFrame, pieces: DataFrame, keys: list[str], ids_col: str = "ids") -> DataFrame:
     """(keys, text): the text that each row's ids stand for, for every row; it is put together within the row, so that keys may
     be null or repeated. Null ids give null, none give an empty text, and ids outside the vocabulary are left out, as are null
     ones in a list. Marks in the original text come back as spaces, as they do in the format itself."""
-    codes = {r.id: bytes([int(r.piece[3:5], 16)]) if r.bytes else r.piece.replace(SPACE, " ").encode() for r in pieces.collect()}
-    size = max(codes, default=-1) + 2  # the last one stands for all others
-    own = [codes.get(i, b"") for i in range(size)]
-    sent = rows.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(own), np.uint8), np.fromiter(map(len, own), np.int64, size)))
+    sent = rows.sparkSession.sparkContext.broadcast(_spellings(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, lengths = sent.value
-        starts = np.cumsum(lengths) - lengths
         for whole in batches:
-            ends = whole.column(whole.num_columns - 1).offsets.to_numpy().astype(np.int64)
-            at = 0
-            while at < whole.num_rows:  # rows of about so many ids at once
-                past = max(at + 1, int(np.searchsorted(ends, ends[at] + _DECODED, "right")) - 1)
-                b = whole.slice(at, past - at)
+            for lo, hi in _slices(whole.column(whole.num_columns - 1).offsets.to_numpy()):
+                b = whole.slice(lo, hi - lo)
                 lists = b.column(b.num_columns - 1)
-                flat = lists.values.slice(ends[at], ends[past] - ends[at]).fill_null(-1).to_numpy(zero_copy_only=False)
-                flat = np.where((flat < 0) | (flat >= size), size - 1, flat)
-                data = b"".join(_gathered(letters, starts, lengths, flat[i : i + _DECODED]).tobytes() for i in range(0, len(flat), _DECODED))
-                bounds = np.concatenate([[0], np.cumsum(lengths[flat])])[ends[at : past + 1] - ends[at]]
-                texts = []
-                for a, z, there in zip(bounds[:-1].tolist(), bounds[1:].tolist(), lists.is_valid().to_pylist(), strict=True):
-                    text = data[a:z].decode("utf-8", "replace") if there else None
-                    texts.append(text[1:] if text and text[0] == " " else text)
+                offsets = lists.offsets.to_numpy().astype(np.int64)
+                ids = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+                texts = _texts(ids, offsets - offsets[0], *sent.value)
+                texts = [t if there else None for t, there in zip(texts, lists.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "text"])
-                at = past
         trimmed()
 
     own_keys = rows.select(*keys)

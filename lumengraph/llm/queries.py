@@ -36,9 +36,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pieces(spark: SparkSession, sf_dir: str, model: str = TOKENIZER) -> DataFrame:
     """Each document's ids, and the text that these decode to."""
-    known = pieces.load(spark, model)
-    out = pieces.encode(table(spark, sf_dir, "documents"), known, stable=True)
-    return pieces.decode(out, known, out.columns)
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load(spark, model), stable=True, decoded=True)
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
