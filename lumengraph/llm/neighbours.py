@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,13 +13,17 @@ from pyspark.sql import functions as F
 from lumengraph.llm.common import written
 
 #: Curves, the dimensions vectors are projected to, and the bits of each. A key has DIMENSIONS * BITS bits.
-CURVES, DIMENSIONS, BITS = 8, 8, 6
-#: Rows that the projections' bounds are fitted on, and queries that the windows' width is fitted on, both chosen by hash.
-BOUND_ROWS, WIDTH_QUERIES = 4096, 64
+CURVES, DIMENSIONS, BITS = 12, 8, 6
+#: Principal axes that each curve's projection is drawn from.
+AXES = 16
+#: Rows that the axes and bounds are fitted on, and queries that the windows' width is fitted on, both chosen by hash.
+BOUND_ROWS, WIDTH_QUERIES = 4096, 128
 #: Share of those queries' true neighbours that a window on some curve has to reach.
-REACH = 0.98
-#: Rows of a block of a curve, and most queries that meet a block in one task.
-BLOCK, QUERY_GROUP = 4096, 4096
+REACH = 0.95
+#: Rows of a block of a curve, and most blocks that queries are gathered from to meet one.
+BLOCK, GATHERED = 4096, 16
+#: Queries next to each other on a curve that are compared at once.
+QUERY_GROUP = 32
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -45,13 +50,11 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): one finite, non-zero vector of doubles an id, all of the commonest length (the least of those)."""
+    """(vec_id, v): one finite, non-zero vector of doubles an id (the least of those)."""
     v = F.col(vector_col).cast("array<double>")
     fine = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    kept = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), fine.alias("fine")).where(F.coalesce("fine", F.lit(False)) & F.col("vec_id").isNotNull()).drop("fine")
-    kept = written(kept.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    size = kept.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return kept.where(F.size("v") == size[0].n) if size else kept
+    kept = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), fine.alias("fine")).where(F.coalesce("fine", F.lit(False)) & F.col("vec_id").isNotNull())
+    return written(kept.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
 
 
 def _stack(column) -> np.ndarray:
@@ -98,17 +101,20 @@ def brute_force(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarray,
 def ranked(vectors: DataFrame, curves: int = CURVES, seed: int = 11) -> DataFrame:
     """(curve, rank, vec_id): every row's place, from 0, on each curve.
 
-    A curve has a random projection and shift of its own. Rows are range-partitioned and sorted by key; a row's place is its
-    place in its partition behind the rows of the partitions before.
+    A curve has a projection and a shift of its own: random directions among the principal axes of a sample. Rows are
+    range-partitioned and sorted by key; a row's place is its place in its partition behind the rows of the partitions before.
     """
     spark = vectors.sparkSession
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(BOUND_ROWS).select("v").toPandas()["v"]
     width = len(sample.iloc[0])
     rng = np.random.default_rng(seed)
     maps = []
+    some = _stack(sample)
+    _, turn = np.linalg.eigh(np.cov(some.T).reshape(width, width)) if len(some) > 1 else (None, np.eye(width))
+    main = turn[:, ::-1][:, :AXES]
     for _ in range(curves):
-        axes = np.linalg.qr(rng.normal(size=(width, min(DIMENSIONS, width))))[0]
-        y = _stack(sample) @ axes
+        axes = main @ np.linalg.qr(rng.normal(size=(main.shape[1], min(DIMENSIONS, main.shape[1]))))[0]
+        y = some @ axes
         low, high = y.min(0), y.max(0)
         span = np.maximum(high - low, 1e-12) * 1.3
         maps.append((axes, low - rng.random(axes.shape[1]) * span * 0.2, span))
@@ -144,34 +150,52 @@ def window_width(vectors: DataFrame, ranks: DataFrame, queries: DataFrame, k: in
 def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of all other rows for every row that is_query (a condition on vec_id) picks.
 
-    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. Each curve is
-    cut into blocks; a query meets the blocks within a window around its own place, and the meetings of all curves are
-    merged and ranked by exact distance. The window's width is fitted so that a sample of queries finds REACH of its true
-    neighbours: data without any structure make it wide, and then much is compared. Vectors that are null, zero, of another
-    length, or that hold null or non-finite numbers take no part, nor do null ids; of rows with one id the least vector
-    counts. With fewer than k candidates all are found; an empty table gives an empty table.
+    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. On each curve a
+    query is compared with the rows in a window around its own place, and what the curves find is merged and ranked by exact
+    distance. The window's width is fitted so that a sample of queries finds REACH of its true neighbours: data without any
+    structure make it wide, and then much is compared. Vectors that are null, zero, or that hold null or non-finite numbers
+    take no part, nor do null ids; vectors of another length have no distance to a query, so that each length is searched
+    by itself; of rows with one id the least vector counts. With fewer than k candidates all are found; an empty table gives
+    an empty table.
     """
     clean = usable(vectors, id_col, vector_col)
+    lengths = sorted(r.n for r in clean.select(F.size("v").alias("n")).distinct().collect())
+    if len(lengths) < 2:
+        return _search(clean, is_query, k, curves)
+    return reduce(DataFrame.union, (_search(clean.where(F.size("v") == n), is_query, k, curves) for n in lengths))
+
+
+def _search(clean: DataFrame, is_query, k: int, curves: int) -> DataFrame:
+    """search among vectors of one length."""
     queries = clean.where(is_query(F.col("vec_id")))
-    n_queries = queries.count()
+    n, n_queries = clean.count(), queries.count()
     if not n_queries:
         return clean.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     ranks = written(ranked(clean, curves), "curve-ranks")
     width = window_width(clean, ranks, queries, k)
-    groups = -(-n_queries // QUERY_GROUP)
-    own = ranks.join(queries.select("vec_id"), "vec_id", "left_semi")
-    met = F.sequence(F.floor(F.greatest(F.col("rank") - width, F.lit(0)) / BLOCK), F.floor((F.col("rank") + width) / BLOCK))
-    asked = own.select("curve", F.explode(met).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("group"), "vec_id").join(queries, "vec_id")
+    # a block meets the queries of so long a stretch of the curve at a time; where all rows are queries that is a few blocks
+    stretch = BLOCK * min(GATHERED, max(1, n // n_queries))
+    block = lambda place: F.floor(place / BLOCK)
+    group = lambda place: F.floor(F.greatest(place, F.lit(0)) / stretch)
+    blocks = F.sequence(block(F.greatest(F.col("rank") - width, F.lit(0))), block(F.col("rank") + width))
+    asked = ranks.join(queries, "vec_id").select("curve", F.explode(blocks).alias("block"), group(F.col("rank")).alias("group"), "rank", "vec_id", "v")
     asked = written(asked, "curve-queries")
-    there = ranks.select("curve", F.floor(F.col("rank") / BLOCK).alias("block"), "vec_id").join(clean, "vec_id")
-    there = there.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    begin = block(F.col("rank")) * BLOCK
+    there = ranks.join(clean, "vec_id").select("curve", block(F.col("rank")).alias("block"), F.explode(F.sequence(group(begin - width), group(begin + BLOCK - 1 + width))).alias("group"), "rank", "vec_id", "v")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        parts = [_nearest(b["vec_id"].to_numpy(), _stack(b["v"]), a["vec_id"].to_numpy()[i : i + 256], _stack(a["v"][i : i + 256]), k) for i in range(0, len(a), 256)]
-        return pd.concat(parts)
+            return none
+        a, b = a.sort_values("rank"), b.sort_values("rank")
+        own, vectors, ids, asking = _stack(a["v"]), _stack(b["v"]), b["vec_id"].to_numpy(), a["vec_id"].to_numpy()
+        first = np.searchsorted(b["rank"], a["rank"] - width)
+        past = np.searchsorted(b["rank"], a["rank"] + width, "right")
+        parts = []
+        for i in range(0, len(a), QUERY_GROUP):
+            lo, hi = int(first[i]), int(past[min(i + QUERY_GROUP, len(a)) - 1])
+            parts.append(_nearest(ids[lo:hi], vectors[lo:hi], asking[i : i + QUERY_GROUP], own[i : i + QUERY_GROUP], k))
+        return pd.concat(parts) if parts else none
 
     keys = ["curve", "block", "group"]
-    found = asked.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(meet, FOUND)
-    return _best(found, k)
+    return _best(asked.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(meet, FOUND), k)
