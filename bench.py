@@ -10,6 +10,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+import duckdb  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
 from lumengraph.plans import catalog  # noqa: E402
@@ -30,14 +31,24 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    catalog.QUERIES["kg_arg_id"](spark, SF).collect()  # the first job starts the machine
-    took = {}
+    spark.range(1).collect()  # the first job starts the machine
+    took, yardstick = {}, {}
+    began = time.time()
+    catalog.log(spark, SF, "region", "nation", "customer", "orders")  # the log is written once
+    took["write_log"] = round(time.time() - began, 3)
     for name in HEADLINE:
         began = time.time()
         catalog.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
     spark.stop()
-    print(json.dumps({"metric": "total of the headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": SF, "cpus": CPUS}))
+    with duckdb.connect(config={"threads": int(CPUS)}) as own:  # the same answers from the tables themselves, which have no history
+        for path in Path(SF).glob("*.parquet"):
+            own.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+        for name in HEADLINE:
+            began = time.time()
+            own.execute(catalog.ORACLE_SQL[name]).fetch_arrow_table()
+            yardstick[name] = round(time.time() - began, 3)
+    print(json.dumps({"metric": "total of the headline queries and of writing their log", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "duckdb_on_tables": yardstick, "sf": SF, "cpus": CPUS}))
 
 
 if __name__ == "__main__":

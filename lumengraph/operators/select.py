@@ -21,7 +21,8 @@ class Field:
 
     kind is the Spark type its literals are read as. Values are those that pass ``test`` and, if ``language`` is given, that
     have it or none; an entity needs one, unless the field is optional. With a ``node`` the field leads to other entities,
-    against the predicate's direction if ``reverse``. A field that isn't ``many`` is read as its least value.
+    against the predicate's direction if ``reverse``. A field that isn't ``many`` is read as its least value. ``order`` and
+    ``size`` are those of a nested page.
     """
 
     name: str
@@ -33,6 +34,15 @@ class Field:
     language: str | None = None
     reverse: bool = False
     node: Node | None = None
+    order: tuple[str, ...] = ()
+    size: int | None = None
+
+    def _asked(self, by: Field) -> Field:
+        """This field of a view, as a query asks for it."""
+        if by.node and not self.node:
+            raise ValueError(f"the view's field {self.name!r} leads nowhere")
+        node = self.node.also(by.node) if self.node and by.node else self.node
+        return replace(self, optional=self.optional and by.optional, test=_both(self.test, by.test), language=self.language if self.language is not None else by.language, node=node, order=by.order or self.order, size=by.size or self.size)
 
 
 @dataclass(frozen=True)
@@ -47,14 +57,32 @@ class Node:
     must: tuple[str, ...] = ()
     hidden: tuple[str, ...] = ()
 
-    def also(self, other: Node) -> Node:
-        """A query on a view: both have to hold."""
+    def also(self, query: Node) -> Node:
+        """A query on this view: both have to hold, and the query sees nothing beyond the view.
+
+        What a field stands for (predicate, kind, direction, language) is the view's; the query names fields and restricts
+        them. Fields, nested ones too, and classes that the view doesn't show are an error, as in a query that a schema
+        doesn't fit. The view's tests hold for fields that aren't asked for; such fields keep no entity out for lack of a
+        value unless the view names their predicates in ``must``.
+        """
         known = {f.name: f for f in self.fields}
-        fields = tuple(replace(f, test=_both(known[f.name].test, f.test)) if f.name in known else f for f in other.fields)
-        extra = tuple(f for f in self.fields if f.name not in {g.name for g in other.fields})
-        where = [w for w in (self.where, other.where) if w]
-        unseen = tuple(replace(f, optional=not (f.predicate in self.must)) for f in extra)
-        return Node(self.cls, (*fields, *unseen), other.ids or self.ids, (lambda v: _all([w(v) for w in where])) if where else None, (*self.must, *other.must), (*other.hidden, *(f.name for f in extra)))
+        if query.cls and self.cls and query.cls != self.cls:
+            raise ValueError(f"the view does not show {query.cls}")
+        if unknown := sorted({f.name for f in query.fields} - set(known)):
+            raise ValueError(f"the view has no field {unknown[0]!r}")
+        asked = {f.name for f in query.fields}
+        fields = tuple(known[f.name]._asked(f) for f in query.fields)
+        extra = tuple(f for f in self.fields if f.name not in asked)
+        unseen = tuple(replace(f, optional=f.predicate not in self.must) for f in extra)
+        where = [w for w in (self.where, query.where) if w]
+        ids = query.ids or self.ids
+        if query.ids and self.ids:
+            ids = tuple(x for x in query.ids if x in self.ids) or NOTHING
+        return Node(self.cls or query.cls, (*fields, *unseen), ids, (lambda v: _all([w(v) for w in where])) if where else None, (*self.must, *query.must), (*self.hidden, *query.hidden, *(f.name for f in extra)))
+
+
+#: Ids of no entity.
+NOTHING = ("",)
 
 
 def _both(a: Test | None, b: Test | None) -> Test | None:
@@ -85,11 +113,27 @@ def predicates(node: Node) -> set[str]:
     return out
 
 
-def entities(state: DataFrame, node: Node) -> DataFrame:
+def links(state: DataFrame, field: Field) -> DataFrame:
+    """(_from, _to): the pairs of entities that a field leads along, each once."""
+    rows = state.where((F.col("predicate") == field.predicate) & (F.col("datatype") == ""))
+    start, end = ("object", "subject") if field.reverse else ("subject", "object")
+    rows = rows.select(F.col(start).alias("_from"), F.col(end).alias("_to")).distinct()
+    return rows.where(F.coalesce(field.test(F.col("_to")), F.lit(False))) if field.test else rows
+
+
+def _by_links(node: Node) -> set[str]:
+    """The fields whose entities are found along single links, so that no row ever holds all of an entity's links: those
+    against the direction, and optional ones."""
+    return set() if node.where else {f.name for f in node.fields if f.node and (f.reverse or f.optional)}
+
+
+def entities(state: DataFrame, node: Node, without: frozenset[str] | set[str] = frozenset()) -> DataFrame:
     """(id, one column a field): one row an entity; fields that are many, or lead on, as sorted arrays.
 
-    One aggregation by subject gathers all forward fields; reverse fields are gathered by object and joined.
+    One aggregation by subject gathers all forward fields; reverse fields are gathered by object and joined. Fields named in
+    ``without`` are neither gathered nor required.
     """
+    node = replace(node, fields=tuple(f for f in node.fields if f.name not in without))
     plain = [f for f in node.fields if not f.reverse]
     needed = {RDF_TYPE, *node.must, *(f.predicate for f in plain)}
     rows = state.where(F.col("predicate").isin(*sorted(needed)))
@@ -126,34 +170,49 @@ def entities(state: DataFrame, node: Node) -> DataFrame:
 def flat(state: DataFrame, node: Node, prefix: str = "") -> DataFrame:
     """One row for each combination of an entity and those that its fields lead to; columns ``field_subfield``.
 
-    A required field joins its entities, an optional one keeps rows without.
+    A required field joins its entities; of an optional one, entities that it leads nowhere to have one row with nulls.
     """
-    out = entities(state, node).withColumnRenamed("id", f"{prefix}id")
+    apart = _by_links(node)
+    out = entities(state, node, apart).withColumnRenamed("id", f"{prefix}id")
     for f in node.fields:
+        own = prefix + f.name
+        if f.name in apart:
+            below = flat(state, f.node, f"{own}_")
+            pairs = links(state, f).join(below, F.col("_to") == below[f"{own}_id"])
+            if f.name in node.hidden:
+                out = out if f.optional else out.join(pairs, out[f"{prefix}id"] == pairs["_from"], "left_semi")
+            else:
+                out = out.join(pairs, out[f"{prefix}id"] == pairs["_from"], "left" if f.optional else "inner").drop("_from", "_to")
+            continue
         if f.name in node.hidden:
             continue
-        own = prefix + f.name
         out = out.withColumnRenamed(f.name, own) if prefix else out
         if f.node:
             below = flat(state, f.node, f"{own}_")
-            out = out.withColumn(own, F.explode_outer(own) if f.optional else F.explode(own)).join(below, F.col(own) == below[f"{own}_id"], "left" if f.optional else "inner").drop(own)
+            if f.optional:  # with a condition on the whole entity: links from its own row
+                pairs = out.select(F.col(f"{prefix}id").alias("_from"), F.explode(own).alias("_to")).join(below, F.col("_to") == below[f"{own}_id"])
+                out = out.drop(own).join(pairs, out[f"{prefix}id"] == pairs["_from"], "left").drop("_from", "_to")
+            else:
+                out = out.withColumn(own, F.explode(own)).join(below, F.col(own) == below[f"{own}_id"]).drop(own)
     return out
 
 
 def nested(state: DataFrame, node: Node, order: Sequence[str] = (), size: int = PAGE) -> DataFrame:
     """One row an entity; a field that leads on holds its entities as an array of structs, in order of id or of ``order``,
-    ``size`` of them at most, which a window by parent picks."""
-    out = entities(state, node)
+    ``size`` of them at most, which a window by parent picks. A field's own ``order`` and ``size`` come before these."""
+    apart = _by_links(node)
+    out = entities(state, node, apart)
     for f in node.fields:
         if not f.node or f.name in node.hidden:
             continue
-        below = nested(state, f.node)
-        links = out.select(F.col("id").alias("_parent"), F.explode(f.name).alias("_child")).join(below, F.col("_child") == below["id"]).drop("_child")
-        inside = [o for o in order if o.lstrip("-") in below.columns]
-        links = page(links, inside, size, per="_parent", drop=False)
-        held = links.groupBy("_parent").agg(F.transform(F.sort_array(F.collect_list(F.struct("_nth", F.struct(*below.columns).alias("e")))), lambda x: x["e"]).alias("_held"))
+        below = nested(state, f.node, order, size)
+        own = links(state, f).select(F.col("_from").alias("_parent"), F.col("_to").alias("_child")) if f.name in apart else out.select(F.col("id").alias("_parent"), F.explode(f.name).alias("_child"))
+        own = own.join(below, F.col("_child") == below["id"]).drop("_child")
+        inside = [o for o in f.order or order if o.lstrip("-") in below.columns]
+        own = page(own, inside, f.size or size, per="_parent", drop=False)
+        held = own.groupBy("_parent").agg(F.transform(F.sort_array(F.collect_list(F.struct("_nth", F.struct(*below.columns).alias("e")))), lambda x: x["e"]).alias("_held"))
         out = out.join(held, out["id"] == held["_parent"], "left" if f.optional else "inner").withColumn(f.name, F.col("_held")).drop("_held", "_parent")
-    return out
+    return out.select("id", *(f.name for f in node.fields if f.name not in node.hidden))
 
 
 def keys(order: Sequence[str], tie: str = "id") -> list[Column]:

@@ -12,12 +12,21 @@ from lumengraph.model import RDF_LANG_STRING, RDF_TYPE, XSD
 STATEMENT = r'^\s*(?:<([^>]*)>|_:(\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|_:(\S+?)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*(?:<([^>]*)>)?\s*\.\s*(?:#.*)?$'
 
 
+#: What the escapes of one letter stand for.
+ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
 def unescaped(text: Column) -> Column:
-    """The escapes of line feeds, tabs, returns, quotes and backslashes undone."""
-    out = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
-    for a, b in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"')):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.replace(out, F.lit("\x00"), F.lit("\\"))
+    """A literal's text with its escapes undone, those of code points (four or eight hexadecimal digits) too."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)|[^\\]+"), F.lit(0))
+
+    def one(part: Column) -> Column:
+        letter = F.substring(part, 2, 1)
+        code = F.decode(F.unhex(F.lpad(F.substring(part, 3, 8), 8, "0")), "UTF-32")
+        known = F.create_map(*(F.lit(x) for pair in ESCAPES.items() for x in pair))
+        return F.when(~F.startswith(part, F.lit("\\")), part).when((F.length(part) > 2) & letter.isin("u", "U"), code).otherwise(F.coalesce(known[letter], part))
+
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def statements(lines: DataFrame, base: str = "http://example.org/", line_col: str = "value", document: Column | None = None, strict: bool = True) -> DataFrame:
@@ -26,15 +35,16 @@ def statements(lines: DataFrame, base: str = "http://example.org/", line_col: st
     else such lines are left out."""
     part = lambda i: F.regexp_extract(line_col, STATEMENT, i)
     own = document if document is not None else F.lit("")
-    kept = lines.where(F.col(line_col).isNotNull() & ~F.col(line_col).rlike(r"^\s*(?:#.*)?$"))
+    empty = F.coalesce(F.col(line_col).rlike(r"^\s*(?:#.*)?$"), F.lit(True))
+    kept = lines.where(~empty)
     subject = F.when(part(1) != "", part(1)).otherwise(skolem(own, part(2), base))
     literal = F.col(line_col).rlike(r'^\s*\S+\s+<[^>]*>\s+"')
     datatype = F.when(~literal, "").when(part(8) != "", F.lit(RDF_LANG_STRING)).when(part(7) != "", part(7)).otherwise(F.lit(XSD + "string"))
     value = F.when(literal, unescaped(part(6))).when(part(4) != "", part(4)).otherwise(skolem(own, part(5), base))
-    rows = kept.select(subject.alias("subject"), part(3).alias("predicate"), value.alias("object"), datatype.alias("datatype"), part(8).alias("language"), part(9).alias("graph"), F.col(line_col).rlike(STATEMENT).alias("fine"), F.col(line_col).alias("line"))
+    rows = kept.select(subject.alias("subject"), part(3).alias("predicate"), value.alias("object"), datatype.alias("datatype"), part(8).alias("language"), part(9).alias("graph"), F.col(line_col).rlike(STATEMENT).alias("fine"), F.col(line_col).alias("line"), empty.alias("empty"))
     fine = F.col("fine") & is_iri(F.col("subject")) & is_iri(F.col("predicate")) & ((F.col("datatype") != "") | is_iri(F.col("object")))
     if strict:
-        rows = rows.withColumn("subject", F.when(fine, F.col("subject")).otherwise(F.raise_error(F.concat(F.lit("not a statement: "), F.col("line")))))
+        rows = rows.withColumn("subject", F.when(fine | F.col("empty"), F.col("subject")).otherwise(F.raise_error(F.concat(F.lit("not a statement: "), F.col("line")))))
     else:
         rows = rows.where(fine)
     return rows.select("subject", "predicate", "object", "datatype", "language", "graph")
@@ -45,24 +55,58 @@ def read_ntriples(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def json_documents(rows: DataFrame, predicates: dict[str, str], base: str, types: dict[str, str], json_col: str = "json") -> DataFrame:
-    """Quads of flat JSON-LD objects ``{"@id", "@type", key: value, list or {"@id"}}``, by the IRIs of their keys and types.
+    """Quads of JSON-LD objects ``{"@id", "@type", key: value}``, by the IRIs of their keys and types.
 
-    Keys are those of predicates. Strings, numbers and booleans become literals, ``{"@id"}`` a link, lists several values;
-    an object without an id gets one from its content. Objects nested deeper come in as documents of their own.
+    Keys are those of predicates, types one or several. A value is a string, a number or a boolean, which become literals of
+    that kind; ``{"@id"}``, a link; ``{"@value"}`` with ``@type`` or ``@language``, a literal of these; an object nested in the
+    document, which becomes a link to a subject of its own with the same keys and types, one level deep; or a list of these.
+    An object without an id gets one from its content. Rows that are no objects give nothing.
     """
-    schema = "struct<`@id`:string,`@type`:string," + ",".join(f"`{k}`:string" for k in predicates) + ">"
-    parsed = rows.select(F.col(json_col).alias("json"), F.from_json(json_col, schema).alias("d")).where("d is not null")
-    subject = F.coalesce(F.col("d.`@id`"), F.concat(F.lit(f"{base}#"), F.sha2("json", 256)))
-    cells = [F.struct(F.lit(iri).alias("predicate"), F.col(f"d.`{key}`").alias("raw")) for key, iri in predicates.items()]
-    each = parsed.select(subject.alias("subject"), F.explode(F.array(*cells)).alias("c")).where("c.raw is not null").select("subject", "c.*")
-    listed = F.coalesce(F.when(F.startswith("raw", F.lit("[")), F.from_json("raw", "array<string>")), F.array("raw"))
-    values = each.select("subject", "predicate", F.explode(listed).alias("raw"))
-    link = F.get_json_object("raw", "$['@id']")
-    datatype = F.when(link.isNotNull(), "").when(F.col("raw").rlike(r"^-?\d+$"), F.lit(XSD + "integer")).when(F.col("raw").rlike(r"^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$"), F.lit(XSD + "double")).when(F.col("raw").isin("true", "false"), F.lit(XSD + "boolean")).otherwise(F.lit(XSD + "string"))
-    kinds = F.coalesce(*(F.when(F.col("d.`@type`") == k, F.lit(v)) for k, v in types.items()), F.col("d.`@type`")) if types else F.col("d.`@type`")
-    typed = parsed.select(subject.alias("subject"), F.lit(RDF_TYPE).alias("predicate"), kinds.alias("object"), F.lit("").alias("datatype")).where("object is not null")
-    out = typed.unionByName(values.select("subject", "predicate", F.coalesce(link, F.col("raw")).alias("object"), datatype.alias("datatype")))
-    return out.select("*", F.lit("").alias("language"), F.lit("").alias("graph"))
+    doc = F.try_parse_json(json_col)
+    top = rows.select(doc.alias("d")).where(F.startswith(F.schema_of_variant("d"), F.lit("OBJECT")))
+    own = _values(top.select(_id(F.col("d"), base).alias("subject"), "d"), predicates)
+    inner = own.where(_nested(F.col("v"))).select(_id(F.col("v"), base).alias("subject"), F.col("v").alias("d"))
+    below = _values(inner, predicates)
+    documents = top.select(_id(F.col("d"), base).alias("subject"), "d").unionByName(inner)
+    kinds = documents.select("subject", F.explode(_listed(_at(F.col("d"), "@type"))).alias("v")).select("subject", F.variant_get("v", "$", "string").alias("name"))
+    named = F.create_map(*(F.lit(x) for pair in types.items() for x in pair)) if types else None
+    typed = kinds.where("name is not null").select("subject", F.lit(RDF_TYPE).alias("predicate"), (F.coalesce(named[F.col("name")], F.col("name")) if types else F.col("name")).alias("object"), F.lit("").alias("datatype"), F.lit("").alias("language"))
+    v, given = F.col("v"), F.coalesce(_at(F.col("v"), "@value"), F.col("v"))
+    link = F.coalesce(_text(v, "@id"), F.when(_nested(v), _id(v, base)))
+    language = F.when(link.isNull(), _text(v, "@language"))
+    kind = F.schema_of_variant(given)
+    read = F.when(kind == "BIGINT", XSD + "integer").when(F.startswith(kind, F.lit("DECIMAL")) | (kind == "DOUBLE"), XSD + "double").when(kind == "BOOLEAN", XSD + "boolean").otherwise(XSD + "string")
+    datatype = F.when(link.isNotNull(), "").when(language.isNotNull(), RDF_LANG_STRING).otherwise(F.coalesce(_text(v, "@type"), read))
+    held = own.unionByName(below).select("subject", "predicate", F.coalesce(link, F.variant_get(given, "$", "string")).alias("object"), datatype.alias("datatype"), F.coalesce(language, F.lit("")).alias("language"))
+    return typed.unionByName(held).where("object is not null").select("*", F.lit("").alias("graph"))
+
+
+def _at(v: Column, key: str) -> Column:
+    return F.variant_get(v, f"$['{key}']", "variant")
+
+
+def _text(v: Column, key: str) -> Column:
+    return F.variant_get(v, f"$['{key}']", "string")
+
+
+def _id(v: Column, base: str) -> Column:
+    return F.coalesce(_text(v, "@id"), F.concat(F.lit(f"{base}#"), F.sha2(F.to_json(v), 256)))
+
+
+def _nested(v: Column) -> Column:
+    """Whether a value is an object with properties of its own."""
+    return F.startswith(F.schema_of_variant(v), F.lit("OBJECT")) & _at(v, "@value").isNull() & (_text(v, "@id").isNull() | _at(v, "@type").isNotNull())
+
+
+def _listed(v: Column) -> Column:
+    return F.when(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), v.cast("array<variant>")).when(v.isNotNull() & ~F.is_variant_null(v), F.array(v))
+
+
+def _values(documents: DataFrame, predicates: dict[str, str]) -> DataFrame:
+    """(subject, predicate, v): the values of the documents' keys, lists taken apart."""
+    cells = [F.struct(F.lit(iri).alias("predicate"), _listed(_at(F.col("d"), key)).alias("vs")) for key, iri in predicates.items()]
+    each = documents.select("subject", F.explode(F.array(*cells)).alias("c"))
+    return each.select("subject", "c.predicate", F.explode("c.vs").alias("v")).where(~F.is_variant_null("v"))
 
 
 def to_ntriples(quads: DataFrame) -> DataFrame:
