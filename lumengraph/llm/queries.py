@@ -97,10 +97,10 @@ ORACLE_SQL: dict[str, str] = {
                    regexp_extract(coalesce(rest, ''), '(?s)^[^?#]*(.*)$', 1) AS extra, regexp_extract(coalesce(url, ''), '(?s)^(.*?)://', 1) AS scheme FROM parts),
         token AS (
             SELECT DISTINCT url, t FROM (
-                SELECT url, 's:' || lower(unnest(regexp_extract_all(scheme, '[a-zA-Z]+'))) AS t FROM p
-                UNION ALL SELECT url, 'h:' || lower(unnest(regexp_extract_all(host, '[a-zA-Z]+'))) FROM p
-                UNION ALL SELECT url, 'p:' || lower(unnest(regexp_extract_all(path, '[a-zA-Z]+'))) FROM p
-                UNION ALL SELECT url, 'q:' || lower(unnest(regexp_extract_all(extra, '[a-zA-Z]+'))) FROM p)),
+                SELECT url, 's:' || lower(unnest(regexp_extract_all(scheme, '\p{L}+'))) AS t FROM p
+                UNION ALL SELECT url, 'h:' || lower(unnest(regexp_extract_all(host, '\p{L}+'))) FROM p
+                UNION ALL SELECT url, 'p:' || lower(unnest(regexp_extract_all(path, '\p{L}+'))) FROM p
+                UNION ALL SELECT url, 'q:' || lower(unnest(regexp_extract_all(extra, '\p{L}+'))) FROM p)),
         bag AS (SELECT url, list_sort(list(t)) AS ts FROM token GROUP BY url),
         sets AS (SELECT url, list_sort(list(t)) AS s FROM (SELECT url, m, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT url, ts, unnest(range(1, 1 << len(ts))) AS m FROM bag)) WHERE (m >> (i - 1)) & 1 = 1 GROUP BY url, m),
         marks AS (SELECT doc_id AS number, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS blocked FROM labels GROUP BY 1),

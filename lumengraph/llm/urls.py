@@ -57,7 +57,7 @@ def listed(h: Column, p: Column, rules: tuple[Listed, ...] = LISTED) -> Column:
 
 def tokens(url: Column) -> Column:
     """The distinct words of a URL that no number is part of, each with the part of the URL it stands in."""
-    words = lambda text, part: F.transform(F.regexp_extract_all(text, F.lit(r"[^\W\d_]+"), 0), lambda w: F.concat(F.lit(part), F.lower(w)))
+    words = lambda text, part: F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+"), 0), lambda w: F.concat(F.lit(part), F.lower(w)))
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     extra = F.regexp_extract(_rest(url), r"(?s)^[^?#]*(.*)$", 1)
     return F.array_sort(F.array_distinct(F.concat(words(scheme, "s:"), words(host(url), "h:"), words(path(url), "p:"), words(extra, "q:"))))
@@ -80,11 +80,20 @@ def mine(labelled: DataFrame) -> DataFrame:
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url): the distinct urls of urls(url) that hold all tokens of any rule; found by the rules' inverted index."""
-    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    held = urls.where("url is not null").distinct().select("url", F.explode(tokens(F.col("url"))).alias("token"))
-    hits = held.join(F.broadcast(rules) if few else rules, "token")
-    return hits.groupBy("url", "rule", "size").count().where(F.col("count") == F.col("size")).select("url").distinct()
+    """(url): the distinct urls of urls(url) that hold all tokens of any rule.
+
+    The inverted index has each rule under the one of its tokens that fewest urls hold, so that a token which nearly every url
+    has brings no url and rule together unless a rule consists of such tokens; the rule's other tokens are then looked for
+    in the url. Null urls hold none.
+    """
+    held = urls.where("url is not null").distinct().select("url", tokens(F.col("url")).alias("tokens"))
+    each = held.select("url", "tokens", F.explode("tokens").alias("token"))
+    counts = each.join(rules.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    rare = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"].alias("token")
+    index = written(rules.join(counts, "token", "left").groupBy("rule").agg(rare, F.collect_set("token").alias("wanted")).select("token", "wanted"), "url-index")
+    few = index.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    hits = each.join(F.broadcast(index) if few else index, "token")
+    return hits.where(F.size(F.array_except("wanted", "tokens")) == 0).select("url").distinct()
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: tuple[Listed, ...] = LISTED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
