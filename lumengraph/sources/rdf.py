@@ -32,7 +32,23 @@ def unescaped(text: Column) -> Column:
 def statements(lines: DataFrame, base: str = "http://example.org/", line_col: str = "value", document: Column | None = None, strict: bool = True) -> DataFrame:
     """Quads of N-Triples or N-Quads lines. Blank nodes become IRIs, the same within a document; empty lines and comments
     give nothing. If strict, a line that is no statement, or holds an IRI of a scheme that isn't allowed, fails the job;
-    else such lines are left out."""
+    else such lines are left out here, and ``rejected`` has them."""
+    rows = _read(lines, base, line_col, document)
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("not a statement: "), F.col("line")))
+        rows = rows.withColumn("subject", F.when(F.col("fine") | F.col("empty"), F.col("subject")).otherwise(bad))
+    else:
+        rows = rows.where("fine")
+    return rows.select("subject", "predicate", "object", "datatype", "language", "graph")
+
+
+def rejected(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """(line): the lines that ``statements`` can't read."""
+    return _read(lines, "http://example.org/", line_col, None).where("not fine").select("line")
+
+
+def _read(lines: DataFrame, base: str, line_col: str, document: Column | None) -> DataFrame:
+    """The parts of each line that is neither empty nor a comment, and whether it is a fine statement."""
     part = lambda i: F.regexp_extract(line_col, STATEMENT, i)
     own = document if document is not None else F.lit("")
     empty = F.coalesce(F.col(line_col).rlike(r"^\s*(?:#.*)?$"), F.lit(True))
@@ -43,11 +59,7 @@ def statements(lines: DataFrame, base: str = "http://example.org/", line_col: st
     value = F.when(literal, unescaped(part(6))).when(part(4) != "", part(4)).otherwise(skolem(own, part(5), base))
     rows = kept.select(subject.alias("subject"), part(3).alias("predicate"), value.alias("object"), datatype.alias("datatype"), part(8).alias("language"), part(9).alias("graph"), F.col(line_col).rlike(STATEMENT).alias("fine"), F.col(line_col).alias("line"), empty.alias("empty"))
     fine = F.col("fine") & is_iri(F.col("subject")) & is_iri(F.col("predicate")) & ((F.col("datatype") != "") | is_iri(F.col("object")))
-    if strict:
-        rows = rows.withColumn("subject", F.when(fine | F.col("empty"), F.col("subject")).otherwise(F.raise_error(F.concat(F.lit("not a statement: "), F.col("line")))))
-    else:
-        rows = rows.where(fine)
-    return rows.select("subject", "predicate", "object", "datatype", "language", "graph")
+    return rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
 
 
 def read_ntriples(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -11,10 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 from lumengraph.model import DELETE, INSERT, LOG, RDF_TYPE
 from lumengraph.operators.state import state
 from lumengraph.sources.mapping import logged
-from lumengraph.sources.rdf import statements
+from lumengraph.sources.rdf import rejected, statements
 
 #: Files of the log that a micro-batch takes at most, and the time between batches.
 FILES_PER_BATCH, EVERY = 100, "1 second"
+#: Records of a change that an event holds at most.
+RECORDS_PER_EVENT = 25_000
 
 
 def log_stream(spark: SparkSession, path: str, files: int = FILES_PER_BATCH) -> DataFrame:
@@ -22,9 +24,11 @@ def log_stream(spark: SparkSession, path: str, files: int = FILES_PER_BATCH) ->
     return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def grouped(batch: DataFrame) -> DataFrame:
-    """(change_id, inserts, deletes, records): an event a change of a batch; a change over several batches gives several."""
-    return batch.groupBy("change_id").agg(
+def grouped(batch: DataFrame, size: int = RECORDS_PER_EVENT) -> DataFrame:
+    """(change_id, page, inserts, deletes, records): the events of a batch. A change gives one for each ``size`` of its records
+    that a task has read, at most, so that a bulk load is many rows in many tasks; one over several batches gives some in each."""
+    paged = batch.withColumn("page", F.floor(F.monotonically_increasing_id() / size))
+    return paged.groupBy("change_id", "page").agg(
         F.count_if(F.col("sign") == INSERT).alias("inserts"),
         F.count_if(F.col("sign") == DELETE).alias("deletes"),
         F.sort_array(F.collect_list(F.struct("subject", "predicate", "object", "datatype", "language", "graph", "sign"))).alias("records"),
@@ -91,14 +95,18 @@ def persisted(sink: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, number: grouped(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
 
-def ingested(spark: SparkSession, folder: str, log: str, base: str, change_id: Callable[[int], str]) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
+def ingested(spark: SparkSession, folder: str, log: str, base: str, change_id: Callable[[int], str], time: Callable[[int], str] | None = None, refused: str | None = None) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
     """(stream, batch handler) that turn uploaded N-Triples files into insertions: a batch is a change, named by ``change_id``
-    from its number, so that a repeated batch gives the same records. Lines that are no statements are left out."""
+    from its number, so that a repeated batch gives the same records; the same times too if ``time`` names them, else the
+    time of writing. Lines that are no statements go to a table below ``refused``, beside the log if no folder is given."""
+    refused = refused or f"{log.rstrip('/')}-refused"
     stream = spark.readStream.format("text").load(folder).withColumn("file", F.input_file_name())
 
     def each(batch: DataFrame, number: int) -> None:
         rows = statements(batch, base, document=F.col("file"), strict=False)
-        logged(rows, F.lit(change_id(number)), F.current_timestamp()).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        at = F.lit(time(number)) if time else F.current_timestamp()
+        logged(rows, F.lit(change_id(number)), at).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        rejected(batch).write.mode("overwrite").parquet(f"{refused}/batch={number}")
 
     return stream, each
 
