@@ -55,6 +55,7 @@ def encoded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
                 counts.append(len(ids) if (ids >= 0).any() else 0)
                 packed.append(squeeze.compress(ids.tobytes()) if counts[-1] else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "key", "n", "ids"])
+        trimmed()
 
     return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key binary, n int, ids binary")
 
@@ -309,6 +310,7 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
                         if held := _confirmed(ids, x, cut.get(i, {}), answer, met):
                             out.append((doc, key, item, *held))
                 yield pd.DataFrame(out, columns=["doc_id", "key", "item_id", "cosine", "lcs", "answer"]).astype({"doc_id": "Int64", "item_id": "int64", "cosine": "float64", "lcs": "float64", "answer": "bool"})
+            trimmed()
 
         found = coded.where("n > 0").select("doc_id", "key", "ids").mapInPandas(run, FOUND)
         if last:
@@ -329,8 +331,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hold them. A candidate counts as a copy if its longest common subsequence covers COPY of the item's words, and as a
     paraphrase from PARAPHRASE on if the answer (an item's last words, if there is no such column) stands there in one
     piece; so does one that covers as much of a passage, of an item that is longer than one: such an item leaks in part, and
-    lcs is then the passage's share. key is the MD5 of the text, so that rows can be told by their texts. Items without a word, null items and null
-    texts give nothing; a repeated row gives its pairs each time; empty tables give an empty table.
+    lcs is then the passage's share. key is the MD5 of the text, so that rows can be told by their texts. Texts are searched whole,
+    however long; other columns are not looked at. Items without a word, null items and null texts give nothing; a repeated
+    row gives its pairs each time; empty tables give an empty table.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"), F.col(text_col).alias("text"))

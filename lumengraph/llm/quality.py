@@ -108,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row of docs: how likely label 1 is, from 0 to 1. A null text counts as empty; without a
-    model each score is 0.5. Repeated rows and null ids are kept; an empty table gives an empty table."""
+    model each score is 0.5. Texts are read whole, however long; repeated rows and null ids are kept, and other columns are not
+    looked at; an empty table gives an empty table."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.5).alias("score"))

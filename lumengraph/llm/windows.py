@@ -207,7 +207,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     covers whose ``window`` words also start anywhere else in the table, in the same text included.
 
     A null or empty text has no words; texts shorter than a window lose none; a repeated row counts each time, so copies of a
-    text of ``window`` or more words lose them all. A null doc_id keeps its row. An empty table gives an empty table.
+    text of ``window`` or more words lose them all. Texts are read whole, however long, and other columns are not looked at. A null
+    doc_id keeps its row. An empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     ranges = repeated(rows, window, gram).distinct().groupBy("key").agg(F.collect_list(F.struct("first", "past")).alias("ranges"))
