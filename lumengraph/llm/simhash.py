@@ -102,16 +102,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
 
 def keep_one(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, that stay when one row of each group of near duplicates is kept: that with the
-    smallest id, and of several texts with that id any one, always the same. Rows without an id come after all others.
+    smallest id, and of several texts with that id any one, always the same. Rows without an id stay.
 
     Of rows that agree in id and text, whatever their other columns hold, one is kept. Null and empty texts are near
     duplicates of each other; an empty table gives an empty table. Only the keys of rows that go, or that stay once out of
     several, meet the texts: they are broadcast up to a bound, so that texts are not shuffled.
     """
     with scratch(docs.sparkSession):
-        prints = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
-        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-        rooted = _rooted(written(prints.groupBy("fp").agg(F.min(order).alias("lead")), "first"))
+        prints = written(fingerprints(docs.where(docs[id_col].isNotNull()), width, id_col, text_col), "fingerprints")
+        rooted = _rooted(written(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("lead")), "first"))
         leads = rooted.groupBy("root").agg(F.min("lead").alias("lead")).select("lead.key", F.lit(True).alias("leads"))
         by_key = prints.groupBy("key").agg(F.count("*").alias("n")).join(leads, "key", "left")
         decided = written(by_key.where("leads is null or n > 1").select("key", F.col("leads").isNotNull().alias("once")), "near-duplicates", stays=True)
