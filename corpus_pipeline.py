@@ -26,8 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the smallest id; null and empty texts are one group.
 
-    Of repeated rows one stays; of different texts with the smallest id one, always the same; documents without an id come
-    last. Texts are read whole, all columns stay, and no documents give no result.
+    Of repeated rows one stays; of different texts with the smallest id one, always the same; documents without an id all
+    stay. Texts are read whole, all columns stay, and no documents give no result.
     """
     return simhash.keep_one(docs)
 
