@@ -24,6 +24,10 @@ MOST_RUN = 1024
 PACK_BYTES = 12 << 20
 #: Buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 4
+#: About so many windows share a minimiser's place, so that a gram with one of so many places of a bucket's windows could fill it.
+WINDOWS_PER_PLACE = 16
+#: Grams that a task counts at once.
+COUNTED_GRAMS = 2 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,24 +52,70 @@ def _span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return _mix((sums[ends] - sums[starts]) * back[starts])
 
 
-def super_kmers(run: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[int, int, int, bytes, bool]]:
-    """(minimiser, text's index in run, first word, packed words, whether a window in it may repeat nearby) for each run of
-    windows that share a minimiser."""
+def _split(run: list[bytes]) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """The words of a run of texts: how many each text has, all of them joined, and where each starts and ends in that."""
     split = [t.split() for t in run]
-    counts = np.fromiter(map(len, split), np.int64, len(split))
     words = [w for s in split for w in s]
-    n = len(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    return np.fromiter(map(len, split), np.int64, len(split)), b" ".join(words), starts, starts + lengths
+
+
+def _hashed(text: bytes, starts: np.ndarray, ends: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and of the grams that start at them."""
+    word_hash = _span_hashes(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1), starts, ends)
+    at = np.arange(max(0, len(starts) - gram + 1))
+    return word_hash, _span_hashes(word_hash, at, at + gram)
+
+
+def common_grams(rows: DataFrame, buckets: int, gram: int = GRAM) -> np.ndarray:
+    """Sorted hashes of the grams of rows(text) that are so common that windows around one alone could fill a bucket.
+
+    A gram of that share of all places has it in some task's grams, too. So a task tells only grams of half that share of its
+    own, which is a bounded number; what it leaves out is less than half of any share sought. At most 32 grams a bucket come out.
+    """
+    share = 1 / (WINDOWS_PER_PLACE * buckets)
+
+    def told(grams: list[np.ndarray]) -> pa.RecordBatch:
+        values, times = np.unique(np.concatenate(grams), return_counts=True)
+        n = int(times.sum())
+        kept = times >= max(2, share * n / 2)
+        return pa.RecordBatch.from_arrays([pa.array([None, *values[kept].view(np.int64).tolist()], pa.int64()), pa.array([n, *times[kept].tolist()], pa.int64())], ["gram", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, size = [], 0
+        for b in batches:
+            for _, run in chunks((t.as_py() or b"" for t in b.column(0).cast(pa.binary())), 2 << 20):
+                _, text, starts, ends = _split(run)
+                if len(starts) < gram:
+                    continue
+                grams.append(_hashed(text, starts, ends, gram)[1])
+                size += len(grams[-1])
+                if size >= COUNTED_GRAMS:
+                    yield told(grams)
+                    grams, size = [], 0
+        if grams:
+            yield told(grams)
+
+    sums = rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    most = sums.orderBy(F.desc("n"), F.asc_nulls_first("gram")).limit(2 * WINDOWS_PER_PLACE * buckets + 1).collect()
+    total = most[0].n if most else 0
+    return np.sort(np.array([r.gram for r in most if r.gram is not None and r.n >= share * total / 2], np.int64).view(np.uint64))
+
+
+def super_kmers(run: list[bytes], window: int = WINDOW, gram: int = GRAM, common: np.ndarray | None = None) -> Iterator[tuple[int, int, int, bytes, bool]]:
+    """(minimiser, text's index in run, first word, packed words, whether a window in it may repeat nearby) for each run of
+    windows that share a minimiser. Grams with hashes in common come last in the order, so that they are minimisers only of
+    windows that have no others."""
+    counts, text, starts, ends = _split(run)
+    n = len(starts)
     if n < window:
         return
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    text = b" ".join(words)
-    starts = np.cumsum(lengths + 1) - lengths - 1
-    ends = starts + lengths
     of = np.repeat(np.arange(len(run)), counts)
     first = np.repeat(np.cumsum(counts) - counts, counts)
-    word_hash = _span_hashes(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1), starts, ends)
-    at = np.arange(n - gram + 1)
-    low = _span_hashes(word_hash, at, at + gram)
+    word_hash, low = _hashed(text, starts, ends, gram)
+    late = np.isin(low, common) if common is not None and len(common) else np.zeros(len(low), bool)
+    low = low >> np.uint64(1) | late.astype(np.uint64) << np.uint64(63)
     width, span = 1, window - gram + 1
     while width * 2 <= span:
         low = np.minimum(low[:-width], low[width:])
@@ -143,9 +193,11 @@ def repeated(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
 
     A task packs runs of windows with one minimiser, settles equal packed strings of its own, and sends the rest to the
     minimiser's bucket: of copies within a task one goes on, so that a bucket gets a row a task of a passage that a third of
-    all rows hold.
+    all rows hold. Grams that many different windows share, such as those of a phrase that a third of all texts repeat, give
+    way to rarer ones, so that these windows go to many buckets; which grams give way changes no result.
     """
     buckets = BUCKETS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = common_grams(rows, buckets, gram)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(6)
@@ -170,7 +222,7 @@ def repeated(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
         for b in batches:
             keys = b.column(0).to_pylist()
             for at, run in chunks((t.as_py() for t in b.column(1).cast(pa.binary())), 2 << 20):
-                for mini, i, start, packed, again in super_kmers(run, window, gram):
+                for mini, i, start, packed, again in super_kmers(run, window, gram, common):
                     own = strings.get((mini, packed))
                     if own is None:
                         strings[mini, packed] = [1, keys[at + i], start, again]

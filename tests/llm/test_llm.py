@@ -552,6 +552,27 @@ def test_windows_match_brute_force(spark, monkeypatch, pack):
     assert windows.remove_repeats(docs(spark, texts, ids).limit(0)).count() == 0
 
 
+def test_windows_around_a_common_phrase_go_to_many_buckets(spark):
+    rng = random.Random(7)
+    grams = lambda x: windows._hashed(*windows._split([x.encode()])[1:], windows.GRAM)[1].tolist()
+    phrase = min((f"all rights reserved by owner {i}" for i in range(3000)), key=lambda x: min(grams(x))).split()  # a minimiser nearly always
+    texts = [" ".join(w for _ in range(12) for w in [*phrase, *(f"w{rng.randrange(10**6)}" for _ in range(14))]) for _ in range(300)]
+    texts += texts[:2]
+    common = windows.common_grams(docs(spark, texts).select("text"), 16)
+    run = [t.encode() for t in texts]
+    assert set(grams(" ".join(phrase))) <= set(common.tolist())
+
+    def largest(common):
+        held = collections.Counter(m for m, *_ in windows.super_kmers(run, common=common))
+        return max(held.values()) / sum(held.values())
+
+    assert largest(None) > 0.3 and largest(common) < 0.01
+    got = windows.remove_repeats(docs(spark, texts)).collect()
+    want = dict(enumerate(slow_removal(texts)))
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == want
+    assert windows.common_grams(docs(spark, [None, "", "one two"]).select("text"), 16).size == 0
+
+
 def test_windows_of_the_sample_match_sql(spark):
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
