@@ -25,8 +25,6 @@ RANK, SPARE = 256, 8
 #: Items of which a passage has less than this share of its weight in the latent space are searched for in groups of up to
 #: RANK passages, whose own space holds them whole; and such groups in one round over the encoded documents.
 SHARE, ROUND_GROUPS = 0.9, 8
-#: Terms that more than this share of the documents hold don't take part in retrieval.
-COMMON = 0.05
 #: Least cosine of a candidate, and least share of an item's weight that it holds; least share of an item's words in order
 #: for a copy, and for a paraphrase with the answer.
 COSINE, WEIGHT, COPY, PARAPHRASE = 0.45, 0.2, 0.8, 0.5
@@ -209,12 +207,8 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
     coded = written(encoded(docs, vocabulary), "encoded")
     n_docs = max(1, coded.count())
     held = document_counts(coded, size)
-    rare = held <= max(1, COMMON * n_docs)
     numbers = [(item, np.array([vocabulary[w] for w in x], np.int32), np.array([vocabulary.get(w, -1) for w in y], np.int32)) for item, x, y in items]
-    for _, x, _ in numbers:  # an item of common terms only keeps them, so that it can be found
-        if len(x) and rare[np.unique(x)].sum() < 3:
-            rare[x] = True
-    idf = np.where(rare, np.log((1 + n_docs) / (1 + held)) + 1e-3, 0.0)
+    idf = np.log((1 + n_docs) / (1 + held)) + 1e-3  # terms that all documents hold weigh next to nothing, but take part
     rows, owner, norms = [], [], []
     cut: dict[int, dict[int, np.ndarray]] = {}  # the passages of items that are cut
     for i, (_, x, _) in enumerate(numbers):
@@ -225,7 +219,7 @@ def _search(docs: DataFrame, items: list[tuple[int, list[str], list[str]]]) -> D
             if norm := float(np.sqrt((weights**2).sum())):
                 if len(own) > 1:
                     cut.setdefault(i, {})[len(rows)] = np.array(p, np.int32)
-                rows.append((terms[weights > 0], weights[weights > 0] / norm))
+                rows.append((terms, weights / norm))
                 owner.append(i)
                 norms.append(norm)
     if not rows:
