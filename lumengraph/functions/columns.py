@@ -126,3 +126,8 @@ def skolem(document: Column, label: Column, base: str) -> Column:
 def uuid7_time(change_id: Column) -> Column:
     """The time in a time-ordered UUID."""
     return F.timestamp_millis(F.conv(F.substring(F.regexp_replace(change_id, "-", ""), 1, 12), 16, 10).cast("long"))
+
+
+def epoch_millis(time: Column) -> Column:
+    """A time as milliseconds since 1970."""
+    return F.unix_millis(time)

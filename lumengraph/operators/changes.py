@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumengraph.functions.columns import Test
 from lumengraph.model import DELETE, INSERT, QUAD, RDF_TYPE, XSD
+from lumengraph.operators.state import change_counts
 
 #: Assertions that are looked at side by side.
 ASSERTIONS_AT_ONCE = 4
@@ -30,7 +32,11 @@ class Change:
 
 @dataclass(frozen=True)
 class Constraint:
-    """A rule for the values of a property of a class; comparisons are those of strings, as are min and max by default."""
+    """A rule for the values of a property of a class; comparisons are those of strings, as are min and max by default.
+
+    With a ``cls`` the values are links to instances of that class, by the types in the same change. Of several rules for one
+    property one has to hold.
+    """
 
     predicate: str
     required: bool = False
@@ -40,12 +46,16 @@ class Constraint:
     datatypes: tuple[str, ...] = ()
     iri: bool = False
     tests: tuple[tuple[str, Test], ...] = ()
+    cls: str | None = None
 
 
 @dataclass(frozen=True)
 class Shape:
+    """The rules for the properties of a class's instances, and tests of their own IRIs."""
+
     cls: str
     constraints: tuple[Constraint, ...]
+    id_tests: tuple[tuple[str, Test], ...] = ()
 
 
 #: The datatypes that a field of a kind accepts on writing.
@@ -83,41 +93,77 @@ def records_of(change: Change) -> DataFrame | None:
 
 
 def violations(records: DataFrame, shapes: Sequence[Shape]) -> DataFrame:
-    """(subject, predicate, rule, value): where inserted quads break the shapes of their classes.
+    """(change_id, subject, predicate, rule, value): where a change's inserted quads break the shapes of their classes.
 
-    Instances are told by their types in the records; predicates that a class's shape doesn't know, and subjects without a
-    known class, are violations too.
+    Instances are told by their types in the same change; predicates that a class's shape doesn't know, and subjects without a
+    known class, are violations too. An instance that breaks all of several rules for one property has the rule
+    ``no alternative``.
     """
+    instance = ["change_id", "subject"]
     rows = records.where(F.col("sign") == INSERT)
     known = {s.cls: s for s in shapes}
-    types = rows.where(F.col("predicate") == RDF_TYPE).select("subject", F.col("object").alias("cls")).where(F.col("cls").isin(*known)).distinct()
+    types = rows.where(F.col("predicate") == RDF_TYPE).select(*instance, F.col("object").alias("cls")).distinct()
+    typed = types.where(F.col("cls").isin(*known))
     values = rows.where(F.col("predicate") != RDF_TYPE)
-    show = lambda df, rule, value: df.select("subject", F.col("predicate"), F.lit(rule).alias("rule"), value.cast("string").alias("value"))
-    found = [show(values.join(types, "subject", "left_anti"), "unknown subject", F.col("object"))]
+    show = lambda df, rule, value: df.select(*instance, F.col("predicate"), F.lit(rule).alias("rule"), value.cast("string").alias("value"))
+    found = [show(values.join(typed, instance, "left_anti"), "unknown subject", F.col("object"))]
     for cls, shape in known.items():
-        own = types.where(F.col("cls") == cls).select("subject")
-        held = values.join(own, "subject", "left_semi")
-        found.append(show(held.where(~F.col("predicate").isin(*(c.predicate for c in shape.constraints))), "unknown property", F.col("object")))
-        counts = held.groupBy("subject").agg(*(F.sum(F.when(F.col("predicate") == c.predicate, 1).otherwise(0)).alias(f"n{i}") for i, c in enumerate(shape.constraints)))
-        counts = own.join(counts, "subject", "left").na.fill(0)
+        own = typed.where(F.col("cls") == cls).select(*instance)
+        for rule, test in shape.id_tests:
+            found.append(show(own.where(~F.coalesce(test(F.col("subject")), F.lit(False))).withColumn("predicate", F.lit("@id")), rule, F.col("subject")))
+        held = values.join(own, instance, "left_semi")
+        rules: dict[str, list[tuple[int, Constraint]]] = {}
         for i, c in enumerate(shape.constraints):
-            n = F.col(f"n{i}")
+            rules.setdefault(c.predicate, []).append((i, c))
+        found.append(show(held.where(~F.col("predicate").isin(*rules)), "unknown property", F.col("object")))
+        counts = held.groupBy(*instance).agg(*(F.sum(F.when(F.col("predicate") == c.predicate, 1).otherwise(0)).alias(f"n{i}") for i, c in enumerate(shape.constraints)))
+        counts = own.join(counts, instance, "left").na.fill(0)
+
+        def broken(i: int, c: Constraint, held: DataFrame = held, counts: DataFrame = counts) -> list[DataFrame]:
+            out, n = [], F.col(f"n{i}")
             least = max(int(c.required), c.min_count or 0)
             most = min([x for x in (1 if c.single else None, c.max_count) if x is not None], default=None)
-            for rule, broken in (("min count", n < least if least else None), ("max count", n > most if most is not None else None)):
-                if broken is not None:
-                    found.append(show(counts.where(broken).withColumn("predicate", F.lit(c.predicate)), rule, n))
+            for rule, off in (("min count", n < least if least else None), ("max count", n > most if most is not None else None)):
+                if off is not None:
+                    out.append(show(counts.where(off).withColumn("predicate", F.lit(c.predicate)), rule, n))
             mine = held.where(F.col("predicate") == c.predicate)
-            if c.iri:
-                found.append(show(mine.where(F.col("datatype") != ""), "not an IRI", F.col("object")))
+            if c.iri or c.cls:
+                out.append(show(mine.where(F.col("datatype") != ""), "not an IRI", F.col("object")))
+            if c.cls:
+                there = types.where(F.col("cls") == c.cls).select("change_id", F.col("subject").alias("object"))
+                out.append(show(mine.where(F.col("datatype") == "").join(there, ["change_id", "object"], "left_anti"), "class", F.col("object")))
             if c.datatypes:
-                found.append(show(mine.where(~F.col("datatype").isin(*c.datatypes)), "datatype", F.col("datatype")))
+                out.append(show(mine.where(~F.col("datatype").isin(*c.datatypes)), "datatype", F.col("datatype")))
             for rule, test in c.tests:
-                found.append(show(mine.where(~F.coalesce(test(F.col("object")), F.lit(False))), rule, F.col("object")))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+                out.append(show(mine.where(~F.coalesce(test(F.col("object")), F.lit(False))), rule, F.col("object")))
+            return out
+
+        for predicate, several in rules.items():
+            each = [broken(i, c) for i, c in several]
+            if len(each) == 1:
+                found += each[0]
+            elif all(each):  # one without anything to break always holds
+                whose = [reduce(DataFrame.unionByName, own_).select(*instance).distinct() for own_ in each]
+                none = reduce(lambda a, b: a.join(b, instance, "left_semi"), whose)
+                found.append(show(none.withColumn("predicate", F.lit(predicate)), "no alternative", F.lit(None)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def reports(requests: DataFrame, records: DataFrame, shapes: Sequence[Shape] = ()) -> tuple[DataFrame, DataFrame]:
+    """(reports, records to write) of a batch of plain requests(request_id, pod_id, change_id) with their records.
+
+    A request that breaks a shape, or holds nothing, fails by itself and writes nothing; the others are written. A report has
+    the request's columns, its place among its pod's requests, status, message (one of its faults) and the numbers of quads.
+    All pods are judged in one job.
+    """
+    failed = violations(records, shapes).groupBy("change_id").agg(F.min(F.concat(F.col("rule"), F.lit(": "), F.col("subject"), F.lit(" "), F.col("predicate"))).alias("message")) if shapes else None
+    kept = records if failed is None else records.join(failed.select("change_id"), "change_id", "left_anti")
+    out = requests.join(change_counts(kept), "change_id", "left")
+    out = out.join(failed, "change_id", "left") if failed is not None else out.withColumn("message", F.lit(None).cast("string"))
+    out = out.withColumn("message", F.coalesce("message", F.when(F.col("inserts").isNull(), "a change inserts or deletes something")))
+    place = F.row_number().over(Window.partitionBy("pod_id").orderBy("request_id"))
+    report = out.select(*requests.columns, place.alias("place"), F.when(F.col("message").isNull(), "COMMITTED").otherwise("VALIDATION_ERROR").alias("status"), "message", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("inserts", "deletes")))
+    return report, kept
 
 
 def failed_assertions(assertions: list[tuple[str, DataFrame]]) -> list[str]:

@@ -7,7 +7,7 @@ import copy
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.model import QUAD
+from lumengraph.model import QUAD, XSD
 
 TRIPLE = QUAD[:-1]
 
@@ -44,6 +44,28 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+#: The predicates of what is known of a file.
+MTIME, SIZE, MODIFIED = "http://www.w3.org/ns/posix/stat#mtime", "http://www.w3.org/ns/posix/stat#size", "http://purl.org/dc/terms/modified"
+
+
+def metadata(files: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Quads about documents, from files(path, length, modified) as ``listing`` gives them: when each was last changed, in seconds and
+    as a date, and how long it is; with what is stored about those that there are. Stored values of these three give way."""
+    cells = [(MTIME, F.unix_timestamp("modified"), "integer"), (MODIFIED, F.date_format(F.to_utc_timestamp("modified", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), "dateTime"), (SIZE, F.col("length"), "integer")]
+    built = [F.struct(F.lit(p).alias("predicate"), v.cast("string").alias("object"), F.lit(XSD + d).alias("datatype")) for p, v, d in cells]
+    own = files.select(F.col("path").alias("subject"), F.explode(F.array(*built)).alias("q")).select("subject", "q.*", F.lit("").alias("language"), F.lit("").alias("graph"))
+    if stored is None:
+        return own
+    kept = stored.select(*QUAD).where(~F.col("predicate").isin(MTIME, MODIFIED, SIZE))
+    return own.unionByName(kept.join(files.select(F.col("path").alias("_path")), F.col("subject") == F.col("_path"), "left_semi"))
+
+
+def bootstrapped(wanted: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
+    """The existing rows and those of wanted whose key isn't there yet, so that a second start changes nothing. Keys are
+    distinct; existing columns that wanted lacks are null."""
+    return existing.unionByName(wanted.dropDuplicates([key]).join(existing.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
 def overlaid(default: dict, override: dict) -> dict:
     """Settings: what an override leaves out comes from the default, what it sets to None is None, maps are merged."""
     out = copy.deepcopy(default)

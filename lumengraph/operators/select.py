@@ -237,6 +237,18 @@ def page_info(rows: DataFrame, size: int = PAGE, cursor: str | None = None) -> d
     return {"totalCount": total, "next": cursors.encode(start + size) if start + size < total else None}
 
 
+def envelope(rows: DataFrame, name: str, order: Sequence[str] = (), size: int = PAGE, cursor: str | None = None, errors: Sequence[str] = ()) -> DataFrame:
+    """One row (data, errors, extensions) of JSON: a page of rows under a name, the errors' messages (null without any), and
+    the page's information. The page is bounded by ``size``, so that it is one row however many rows there are."""
+    some = page(rows, order, size, cursor).withColumn("_nth", F.row_number().over(Window.orderBy(*keys(order))))
+    held = F.transform(F.sort_array(F.collect_list(F.struct("_nth", F.struct(*rows.columns).alias("e")))), lambda x: x["e"])
+    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    said = text(F.array(*(F.struct(F.lit(m).alias("message")) for m in errors))) if errors else F.lit(None).cast("string")
+    info = page_info(rows, size, cursor)
+    told = F.struct(F.struct(F.lit(info["totalCount"]).alias("totalCount"), F.lit(info["next"]).cast("string").alias("next")).alias(name))
+    return some.agg(text(F.struct(held.alias(name))).alias("data")).select("data", said.alias("errors"), text(F.struct(told.alias("pagination"))).alias("extensions"))
+
+
 def types_of(state: DataFrame) -> DataFrame:
     """(id, types): each subject's classes."""
     return state.where(F.col("predicate") == RDF_TYPE).groupBy(F.col("subject").alias("id")).agg(F.sort_array(F.collect_set("object")).alias("types"))

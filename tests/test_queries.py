@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lumengraph.plans import catalog
+from lumengraph.plans import catalog, services  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
